@@ -7,10 +7,10 @@ Match: the lexicon is a trie. A state of the matcher is the set of pairs (trie n
 automaton can reach; sets are made as they are needed and kept, so that a word takes one table look-up for each letter and
 most words end after a few. Insertions, deletions, substitutions and swaps of neighbours are single edits. Entries of
 five letters or more take one edit, of ten or more two. A stem takes any ending; so does a word of five letters or more,
-as a hit of its own class.
+as a hit of its own class. Some stems make a hit only by two different words; one alone is of the class of endings.
 
 Score: each entry and class (exact, ending, edits) has the excess of toxic documents among those of the sample that show
-it, so misspellings that clean texts show by chance weigh nothing. A hit counts less inside quotation marks, less still if a
+it (for the last two, without an exact hit), so misspellings that clean texts show by chance weigh nothing. A hit counts less inside quotation marks, less still if a
 verb of saying is near, and more if a pronoun of address is. Hits of different entries combine as independent causes over the
 toxic share of documents without a hit.
 
@@ -52,8 +52,8 @@ EXACT, ENDING, EDITED = 0, 1, 2
 class Matcher:
     """Runs words through the Levenshtein automata of all lexicon entries at once."""
 
-    def __init__(self, entries: list[tuple[str, bool]]):
-        """entries: (text, whether it is a stem)."""
+    def __init__(self, entries: list[tuple[str, int]]):
+        """entries: (text, 0 for a word; for a stem, the number of different words that make a hit)."""
         self.entries = entries
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
@@ -193,9 +193,11 @@ def document_hits(text: str, matcher: Matcher, dead: set[str]) -> dict[tuple[int
         for m in WORD.finditer(text):
             if (w := m[0].lower()) in alive and quoted.get(w, 1.0) > 0:
                 quoted[w] = min(quoted.get(w, 1.0), quotedness(text, *m.span()))
+    exact = Counter(k for found in alive.values() for k, kind in found.items() if kind == EXACT)
     out: dict[tuple[int, int], float] = {}
     for w, found in alive.items():
-        for key in found.items():
+        for k, kind in found.items():
+            key = k, ENDING if kind == EXACT and exact[k] < matcher.entries[k][1] else kind
             out[key] = min(out.get(key, 1.0), quoted.get(w, 0.0))
     return out
 
@@ -203,7 +205,7 @@ def document_hits(text: str, matcher: Matcher, dead: set[str]) -> dict[tuple[int
 class Model:
     """A lexicon with weights. ``weights[entry, class]`` is the excess toxic share, ``rest`` that of texts without a hit."""
 
-    def __init__(self, entries: list[tuple[str, bool]], weights: dict[tuple[int, int], float], rest: float):
+    def __init__(self, entries: list[tuple[str, int]], weights: dict[tuple[int, int], float], rest: float):
         self.entries, self.weights, self.rest = entries, weights, rest
 
     def score(self, hits: dict[tuple[int, int], float]) -> float:
@@ -233,11 +235,11 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return chosen.mapInArrow(signed, "sign long, toxic int, text string").dropDuplicates(["sign", "toxic"]).select("text", "toxic")
 
 
-def _terms(text: str, stems: bool) -> set[str]:
-    """Words as ``w:``, and stems of them as ``p:`` (with the word itself, if it has a stem's length)."""
+def _terms(text: str) -> set[str]:
+    """Words as ``w:``, stems of them as ``p:`` (with a word of a stem's length), stems of two words or more as ``r:``."""
     words = {w for w in WORD.findall(text.lower()) if len(w) > 2 and w.isalpha()}
-    out = {f"w:{w}" for w in words}
-    return out | {f"p:{w[:k]}" for w in words for k in STEM_LETTERS if len(w) >= k} if stems else out
+    count = Counter(w[:k] for w in words for k in STEM_LETTERS if len(w) >= k)
+    return {f"w:{w}" for w in words} | {f"p:{t}" for t in count} | {f"r:{t}" for t, n in count.items() if n > 1}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
@@ -254,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
             count: Counter = Counter()
             for batch in batches:
                 for text in batch.column("text").to_pylist():
-                    terms = _terms(text, True)
+                    terms = _terms(text)
                     count.update(terms if known is None else terms & known)
             yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["term", "n"])
 
@@ -269,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
     return Model(entries, weights, rest)
 
 
-def _lexicon(often: dict[str, int], other: dict[str, int], toxic: int, clean: int) -> list[tuple[str, bool]]:
+def _lexicon(often: dict[str, int], other: dict[str, int], toxic: int, clean: int) -> list[tuple[str, int]]:
     share, ranked = toxic / (toxic + clean), []
     for term, a in often.items():
         b = other.get(term, 0)
@@ -277,31 +279,30 @@ def _lexicon(often: dict[str, int], other: dict[str, int], toxic: int, clean: in
             continue
         g = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0)
         if g / math.log(10) >= math.log10(len(often)) + 2:
-            ranked.append((a, term))
-    # A stem stands for its words if it covers clearly more documents than any of them; of equal ones the longest is taken.
-    kept: list[tuple[str, bool]] = []
-    seen: list[tuple[str, bool, int]] = []
-    for a, term in sorted(ranked, key=lambda x: (-x[0], x[1][0] == "p", -len(x[1]), x[1])):
-        text, stem = term[2:], term[0] == "p"
-        if any(text.startswith(t) and (s or stem) or t.startswith(text) and stem and a < 1.2 * n or text == t for t, s, n in seen):
+            ranked.append((g, "wpr".index(term[0]), term[2:]))
+    # The strongest first, of equal ones words before stems and long before short. What a chosen stem covers adds nothing;
+    # a stem of a chosen entry is taken only if it is clearly stronger.
+    kept: list[tuple[str, int]] = []
+    for g, words, text in sorted(ranked, key=lambda x: (-x[0], x[1], -len(x[2]), x[2])):
+        if any(text.startswith(t) and n for t, n in kept) or any(t.startswith(text) for t, _ in kept):
             continue
-        longer = [(n, t) for n, t in ranked if t[2:].startswith(text) and t != term and n >= 0.97 * a]
-        if stem and longer:
+        if words and any(t != text and t.startswith(text) and other_g >= 0.97 * g for other_g, _, t in ranked):
             continue
-        seen.append((text, stem, a))
-        kept.append((text, stem))
+        kept.append((text, words))
         if len(kept) == MAX_LEXICON:
             break
     return kept
 
 
-def _weights(sample: DataFrame, entries: list[tuple[str, bool]], base: float) -> tuple[dict[tuple[int, int], float], float]:
+def _weights(sample: DataFrame, entries: list[tuple[str, int]], base: float) -> tuple[dict[tuple[int, int], float], float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, dead, count = Matcher(entries), set(), Counter()
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 hits = document_hits(text, matcher, dead)
-                for key in hits or [(-1, 0)]:
+                # What goes along with an exact hit says nothing about the other classes.
+                best = [key for key in hits if key[1] == EXACT] or hits or [(-1, 0)]
+                for key in best:
                     count[*key, label] += 1
         keys = list(count)
         yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in keys], pa.int32()) for c in range(3)] + [pa.array([count[k] for k in keys], pa.int64())], names=["entry", "kind", "toxic", "n"])
