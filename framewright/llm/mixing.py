@@ -78,7 +78,7 @@ def phases(blocks: dict[str | None, int], weights: dict[str | None, float], peri
 
 
 def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, power: float = POWER, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with _block, _phase, _release, _deadline, _slot and _position (a long, gapless from 0).
+    """``docs`` (with no column that starts with an underscore but ``_row``) with _block, _phase, _release, _deadline, _slot and _position (a long, gapless from 0).
 
     ``weights`` are by source (null as None); without them a source weighs its number of rows to the ``power``.
     Release and deadline count slots from the start of the block's phase, as the slot does.
@@ -132,8 +132,9 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "source", whole("block"), F.col("_phase").cast("int").alias("phase"), whole("release"), whole("deadline"), whole("slot"), whole("position"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows and columns of ``docs``, written in the order of the schedule: parts by range of position, sorted inside."""
-    found = scheduled(docs, **options)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"))
+    found = scheduled(packed, **options)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select(*docs.columns)
+    return found.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select("_row.*")

@@ -264,7 +264,7 @@ def _links(sets: DataFrame, percent: int, most: int, tasks: int) -> DataFrame:
     large = sets.where(F.col("weight") > most)
     if large.isEmpty():
         return links
-    large = durable(large.withColumn("of", F.ceil(2 * F.col("weight") / most).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("of"))))
+    large = durable(large.withColumn("of", F.ceil(2 * F.col("weight") / most).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
     within = durable(run(large.select(F.xxhash64("block", "piece").alias("task"), F.xxhash64("block", "piece").alias("block"), "id", F.lit(-1).alias("asked"), "shingles")))
     # One text of each piece's largest group is asked of every piece, which joins the pieces' groups.
     group = large.select("block", "piece", "of", "id").join(components(within), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))

@@ -106,7 +106,7 @@ class Matcher:
                     out.add((child, edits + 1, ""))
                 if edits < self.most[child] and c != letter and c in self.children[child]:
                     out.add((self.children[child][c], edits + 1, letter))
-            if node and edits < self.most[node]:
+            if edits < self.most[node]:
                 out.add((node, edits + 1, ""))
         return self._closed(out)
 
