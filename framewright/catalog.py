@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framewright.plans import folds as _folds  # noqa: F401  (registers its queries)
 from framewright.plans import queries as _queries
 
 

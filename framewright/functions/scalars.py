@@ -192,9 +192,9 @@ def flattened(df: DataFrame, column: str, keys: list[str], depth: int = 8) -> Da
         is_object = F.col("value").rlike(r"^\s*\{")
         leaf = level_rows.where(~F.coalesce(is_object, F.lit(False)))
         out = leaf if out is None else out.unionByName(leaf)
-        inner = level_rows.where(is_object).select(*keys, "path", F.explode(F.json_object_keys("value")).alias("k"), "value")
-        child = F.call_function("get_json_object", F.col("value"), F.concat(F.lit("$['"), F.col("k"), F.lit("']")))
-        level_rows = inner.select(*keys, F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k")).alias("path"), child.alias("value"))
+        inner = level_rows.where(is_object).select(*keys, "path", F.explode(F.json_object_keys("value")).alias("_k"), "value")
+        child = F.call_function("get_json_object", F.col("value"), F.concat(F.lit("$['"), F.col("_k"), F.lit("']")))
+        level_rows = inner.select(*keys, F.when(F.col("path") == "", F.col("_k")).otherwise(F.concat("path", F.lit("."), "_k")).alias("path"), child.alias("value"))
     return out.where("path <> ''")
 
 

@@ -1,0 +1 @@
+"""Structured-streaming forms of the ordered-trace operators."""
