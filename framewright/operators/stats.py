@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .align import eight_statistics  # noqa: F401
+from .align import as_of_frames, eight_statistics  # noqa: F401
 
 
 def timed_statistics(df: DataFrame, value: str, frame: str = "frame", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -49,12 +49,21 @@ def histogram(df: DataFrame, key: Column, bins: int, groups: list[str] | None =
 
 
 def carried_usage(updates: DataFrame, segments: DataFrame, cell: str, frame: str, key: str, last_frame: int) -> DataFrame:
-    """(segment, key, frames): for how many frames of each segment a key was shown. An update holds until the cell's next."""
+    """(segment, key, frames): for how many frames of each segment a key was shown. An update holds until the cell's next.
+
+    ``segments`` (segment, start, stop) follow one another without gaps. The segments of an update's first and last frame are
+    looked up by scans along the axis, so that it meets each segment between by an equality, not a range join.
+    """
     until = F.coalesce(F.lead(frame).over(W.partitionBy(cell).orderBy(frame)), F.lit(last_frame))
-    alive = updates.withColumn("_to", until)
-    overlap = alive.join(F.broadcast(segments), (F.col(frame) < F.col("stop")) & (F.col("_to") > F.col("start")))
-    span = F.least("_to", "stop") - F.greatest(F.col(frame), F.col("start"))
-    return overlap.groupBy("segment", key).agg(F.sum(span).alias("frames"))
+    alive = updates.select(F.col(frame).alias("_from"), F.col(key).alias(key), until.alias("_to")).where("_to > _from")
+    starts = segments.select(F.col("start").alias("_at"))
+    first = as_of_frames(alive.withColumnRenamed("_from", "_at"), starts, "_at", "_first").withColumnRenamed("_at", "_from")
+    both = as_of_frames(first.withColumn("_at", F.col("_to") - 1), starts, "_at", "_last").drop("_at")
+    numbered = segments.withColumn("_n", F.row_number().over(W.orderBy("start")))
+    place = lambda c: numbered.select(F.col("start").alias(c), F.col("_n").alias(f"{c}_n"))
+    held = both.join(place("_first"), "_first").join(place("_last"), "_last").withColumn("_n", F.explode(F.sequence("_first_n", "_last_n")))
+    span = F.least("_to", "stop") - F.greatest("_from", "start")
+    return held.join(numbered, "_n").groupBy("segment", key).agg(F.sum(span).alias("frames"))
 
 
 def colour_rollup(slots: DataFrame, usage: DataFrame) -> DataFrame:

@@ -285,3 +285,57 @@ def mapping_noise(tiles_df: DataFrame, lines: DataFrame, lut: DataFrame) -> Data
     a, b = counts.alias("a"), counts.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.line") < F.col("b.line")))
     return pairs.select(F.col("a.key").alias("key"), F.col("a.line").alias("a"), F.col("b.line").alias("b"), (F.least("a.n", "b.n") * F.abs(F.col("a.error") - F.col("b.error"))).alias("noise"))
+
+
+def rendered(assigned: DataFrame, palettes: dict[int, np.ndarray]) -> DataFrame:
+    """(frame, cell, keys) of rows (frame, cell, line, indices): the colour keys that 1-based palette indices show."""
+    lines = F.create_map(*[x for k, p in palettes.items() for x in (F.lit(k), F.array(*[F.lit(int(v)) for v in keys_of(p.astype(np.int64))]))])
+    shown = F.transform("indices", lambda i: F.get(F.element_at(lines, F.col("line")), i.cast("int") - 1).cast("smallint"))
+    return assigned.select("frame", "cell", shown.alias("keys"))
+
+
+def flicker(frames: DataFrame) -> DataFrame:
+    """(frame, changed, back, peak): against the two frames before, how many pixels change, how many of these change back, and
+    the greatest luma step. Each row meets its two predecessors by a join on the frame."""
+    own = frames.select("frame", "height", "width", "pixels")
+    before = lambda k: own.select((F.col("frame") + k).alias("frame"), F.col("pixels").alias(f"p{k}"))
+    both = own.join(before(1), "frame").join(before(2), "frame", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for f, h, w, px, p1, p2 in pdf[["frame", "height", "width", "pixels", "p1", "p2"]].itertuples(index=False):
+                now, one = image_of(px, h, w), image_of(p1, h, w)
+                moved = (now != one).any(axis=2)
+                back = moved & (now == image_of(p2, h, w)).all(axis=2) if p2 is not None else np.zeros_like(moved)
+                rows.append((f, int(moved.sum()), int(back.sum()), int(np.abs(luma(now) - luma(one)).max())))
+            yield pd.DataFrame(rows, columns=["frame", "changed", "back", "peak"])
+
+    return both.mapInPandas(run, "frame long, changed long, back long, peak long")
+
+
+def correlation(a: np.ndarray, b: np.ndarray) -> float:
+    """Normalised cross-correlation of two patches; 0 for a flat one."""
+    a, b = a - a.mean(), b - b.mean()
+    scale = float(np.sqrt((a * a).sum() * (b * b).sum()))
+    return float((a * b).sum()) / scale if scale else 0.0
+
+
+def most_changed(tiles_df: DataFrame, budget: int) -> DataFrame:
+    """(frame, cell, sent): of each frame's cells that differ from what is shown, the ``budget`` that differ most are sent (of
+    equal ones the greater cell); what is shown follows. One fold for the whole stream."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shown, out = None, []
+        for f, part in pdf.sort_values(["frame", "cell"]).groupby("frame", sort=True):
+            rgb = LEVELS[np.stack(part["keys"].to_numpy()).astype(np.int64)].astype(np.int64)
+            shown = rgb.copy() * 0 - 1 if shown is None else shown
+            d = np.abs(rgb - shown).sum(axis=(1, 2))
+            order = np.lexsort((np.arange(len(d)), d))[::-1][:budget]
+            sent = np.zeros(len(d), dtype=bool)
+            sent[order[d[order] > 0]] = True
+            shown[sent] = rgb[sent]
+            out.append(pd.DataFrame({"frame": f, "cell": part["cell"].to_numpy(), "sent": sent}))
+        return pd.concat(out)
+
+    return tiles_df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf), "frame long, cell int, sent boolean")

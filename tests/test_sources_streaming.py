@@ -37,7 +37,7 @@ def test_trace_rules(spark, tmp_path):
 
 
 def test_logs(spark, tmp_path):
-    line = "[libretro ERROR] [224(224)][100(100)] DMA type 1 (102 access/line)(100 cycles left)-> 47 access (47 remaining) (1d7e)"
+    line = "[core ERROR] [224(224)][100(100)] DMA type 1 (102 access/line)(100 cycles left)-> 47 access (47 remaining) (1d7e)"
     path = tmp_path / "log.txt.gz"
     path.write_bytes(gzip.compress(f"{line}\nnoise 1\nMode=3 first\nnoise 2\nMode=4 last\n".encode()))
     log = tables.lines(spark, str(path))
