@@ -358,3 +358,57 @@ def ring_schedule(loads: list[int], lengths: list[int], slots: list[int], ring:
         control, payload = control + c, payload + p
         out.append((c, p))
     return out
+
+
+def frame_budgets(cold: DataFrame, frames: DataFrame, dictionary_size: int, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, budgets): the keys that serve most of rows (stream, frame, ord, key) of the whole stream, and for the rest
+    of each frame's demand the credits of its parity's pool: (stream, parity, frame, given). ``frames`` lists (stream, frame)."""
+    from .ranking import dictionary
+
+    chosen = dictionary(cold, "key", F.lit(False), "ord", dictionary_size)
+    left = cold.join(chosen.select("key"), "key", "left_anti").groupBy("stream", "frame").agg(F.count("*").alias("wanted"))
+    every = frames.join(left, ["stream", "frame"], "left").na.fill(0, ["wanted"])
+    return chosen, water_filled(every.select("stream", "frame", "wanted", F.lit(0).cast("long").alias("urgent"), F.col("wanted").alias("available")), capacity)
+
+
+def cheaper_lists(updates: list[int], margins: list[int], bitmap: int, entry: int, item: int, fixed: list[bool] | None = None) -> list[bool]:
+    """Which frames code their updates as a list: where that is shorter than the bitmap form. ``margins`` are the bytes that
+    each prefix has to spare in bitmap form; a list that is longer (where ``fixed`` demands it) must not overdraw any later
+    one, else ValueError."""
+    fixed = fixed or [False] * len(updates)
+    cost = [n * item - bitmap - n * entry for n in updates]
+    chosen = [f or c < 0 for f, c in zip(fixed, cost, strict=True)]
+    saved = 0
+    for k, use in enumerate(chosen):
+        saved -= cost[k] if use else 0
+        if margins[k] + saved < 0:
+            raise ValueError(f"frame {k}: the lists overdraw the schedule")
+    return chosen
+
+
+def feasible(patterns: np.ndarray, control: np.ndarray, prebuffer: int, capacity: int, per_sector: int, unit: int, rounds: int = 64) -> np.ndarray:
+    """Patterns cut until no prefix needs more sectors than ``capacity`` a frame: at the first that does, the loads since the
+    last prefix that needed none in advance are served by the largest common share that fits."""
+    plan = patterns.astype(np.int64).copy()
+    need_control = np.ceil(np.cumsum(np.append(0, control[1:])) / unit)
+
+    def margin(p: np.ndarray) -> np.ndarray:
+        total = np.cumsum(np.append(0, p[1:]))
+        ahead = np.append(total[1:], total[-1:])
+        return np.arange(len(p)) * capacity - np.ceil(np.maximum(ahead - prebuffer // per_sector * per_sector, 0) / per_sector) - need_control
+
+    for _ in range(max(1, 2 * len(plan))):
+        short = np.flatnonzero(margin(plan) < 0)
+        if not len(short):
+            return plan
+        stop = min(int(short[0]) + 2, len(plan))
+        low, high = 0.0, 1.0
+        for _ in range(rounds):
+            share = (low + high) / 2
+            trial = np.concatenate([plan[:1], np.floor(plan[1:stop] * share).astype(np.int64), plan[stop:]])
+            low, high = (share, high) if (margin(trial)[: stop - 1] >= 0).all() else (low, share)
+        served = np.floor(plan[1:stop] * low).astype(np.int64)
+        if (served == plan[1:stop]).all():
+            raise ValueError("control alone exceeds the capacity")
+        plan[1:stop] = served
+    raise RuntimeError("not feasible")
