@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it has been counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
+#: Edges of a graph that one task contracts (16 bytes each).
+EDGES_A_TASK = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +48,18 @@ def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -
     return F.broadcast(df) if (df.count() if rows is None else rows) <= bound else df
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Python functions get Arrow batches of so many rows; for steps that end inside (see ``durable``)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remainder(id_column: Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(of))
@@ -65,17 +83,45 @@ def slots(df: DataFrame, group: str, order: list[Column], into: str, buckets: in
     return joined.withColumn(into, F.col("_start") + F.col("_rank") - 1).drop("_bucket", "_rank", "_g", "_b", "_start")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of a graph's edges: each node that is not the least of its component, and that least node."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, label[x], least)
+        np.minimum.at(after, label[y], least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(x.column("a").to_numpy(zero_copy_only=False), x.column("b").to_numpy(zero_copy_only=False)) for x in batches]
+    if parts:
+        nodes, roots = forest(*(np.concatenate(p).astype(np.int64) for p in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
+
+
+def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root being the smallest node that can be reached.
 
-    Alternating large-star and small-star steps: each is an aggregation of the least neighbour and a join with it, so a
-    hub's neighbours are never gathered in one row. Every second step is cut off by a checkpoint. Nodes without an edge
-    have no row; self-edges and repeated edges do no harm; no edges give no rows.
+    First each task contracts up to ``edges_a_task`` edges to stars around least nodes. If one task had all, that is the
+    answer. Else large-star and small-star steps follow by turns: each is an aggregation of the least neighbour and a join
+    with it, so a hub's neighbours are never gathered in one row. Every second step is cut off by a checkpoint. Nodes without
+    an edge have no row; self-edges and repeated edges do no harm; no edges give no rows.
     """
-    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = durable(edges.where("a <> b").select("a", "b"))
+    tasks = max(1, -(-edges.count() // edges_a_task))
+    edges = durable(edges.coalesce(tasks).mapInArrow(_contracted, "a long, b long").distinct() if tasks > 1 else edges.coalesce(1).mapInArrow(_contracted, "a long, b long"))
     digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    before = digest(edges)
-    for _ in range(rounds):
+    before = digest(edges) if tasks > 1 else None
+    for _ in range(rounds if tasks > 1 else 0):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -84,7 +130,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         linked = low.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
         after = durable(linked.union(least.select("a", F.col("m").alias("b"))).distinct())
         now = digest(after)
-        if now == before:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        edges, before = after, now
-    raise RuntimeError(f"components: not stable after {rounds} rounds")
+        edges, stable, before = after, now == before, now
+        if stable:
+            break
+    else:
+        if tasks > 1:
+            raise RuntimeError(f"components: not stable after {rounds} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

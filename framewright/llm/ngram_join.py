@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import components, durable, small
+from ._common import batches_of, components, durable, forest, small
 from ._text import byte_rows, mix, shingles, word_hashes
 
-SHINGLE_WORDS, PERCENT, BLOCK_SHINGLES = 4, 85, 1_500_000
+SHINGLE_WORDS, PERCENT, BLOCK_SHINGLES = 4, 85, 500_000
+#: Texts that a Python worker holds at once; equal sets of one batch are posted once.
+TEXTS_A_BATCH = 2_000
 
 _SCANNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("postings", T.BinaryType())])
 _SET = T.StructType([*_SCANNED.fields[:4], T.StructField("shingles", T.BinaryType())])
@@ -113,14 +115,14 @@ def _scan(size: int, percent: int, buckets: int):
 
 
 def _meet(batch: pa.Table) -> pa.Table:
-    """Of one bucket of postings: (least key, other key) of each list that holds two classes or more."""
+    """Of one bucket of postings: stars (least key, other key) over the classes that meet in its lists."""
     pairs = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in byte_rows(batch.column("postings"))])
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     new_list = np.append(True, pairs[1:, 0] != pairs[:-1, 0])
     first = np.maximum.accumulate(np.where(new_list, np.arange(len(pairs)), 0))
-    links = np.stack([pairs[first, 1], pairs[:, 1]], axis=1)
-    links = np.unique(links[links[:, 0] != links[:, 1]], axis=0)
-    return pa.table({"a": links[:, 0], "b": links[:, 1]})
+    a, b = pairs[first, 1], pairs[:, 1]
+    nodes, roots = forest(a[a != b], b[a != b])
+    return pa.table({"a": roots, "b": nodes})
 
 
 class Lists:
@@ -295,8 +297,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    scanned = durable(texts.mapInArrow(_scan(shingle_words, percent, buckets), _SCANNED))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    buckets = 4 * tasks
+    with batches_of(spark, TEXTS_A_BATCH):
+        scanned = durable(texts.mapInArrow(_scan(shingle_words, percent, buckets), _SCANNED))
     rows = scanned.where("bucket is null").select("doc_id", "n_shingles", "k1", "k2")
     classes = durable(rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
     met = components(scanned.where("bucket is not null").select("bucket", "postings").groupBy("bucket").applyInArrow(_meet, _LINK))
@@ -306,7 +310,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = asked.mapInArrow(_sets(shingle_words), _SET)
     sets = sets.join(small(found, n), (F.col("doc_id") == F.col("class_id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     sets = sets.select(F.col("class_id").alias("id"), "block", "n_shingles", "shingles").dropDuplicates(["id"])
-    groups = components(_links(durable(sets), percent, block_shingles, buckets))
+    with batches_of(spark, TEXTS_A_BATCH):
+        sets = durable(sets)
+    groups = components(_links(sets, percent, block_shingles, tasks))
     members = classes.join(groups, F.col("class_id") == F.col("node"), "left").select("k1", "k2", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     out = rows.join(members, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
