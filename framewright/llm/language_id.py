@@ -26,7 +26,7 @@ from ._common import durable, remainder
 from ._text import mix
 
 FOLDS, HELD_OUT = 3, 1
-MAX_FIT_ROWS, CLUSTERS, BITS, REJECT = 1_500, 4, 13, 0.01
+MAX_FIT_ROWS, CLUSTERS, BITS, REJECT = 600, 4, 13, 0.01
 UNKNOWN = "und"
 #: Letters that one pass over a text holds at once.
 PIECE = 1 << 20
