@@ -35,29 +35,29 @@ MAX_LANGUAGES = 2_000
 SHARPNESS = 20.0
 
 
-def _letter_table() -> np.ndarray:
-    """For each UTF-16 unit its lower-cased letter, or 0 for what is no letter (units beyond the base plane stay)."""
-    table = np.zeros(1 << 16, dtype=np.uint32)
-    for c in range(1 << 16):
-        if 0xD800 <= c < 0xE000:
-            table[c] = c
-        elif (x := chr(c)).isalpha():
-            low = x.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+def _letter(c: int) -> int:
+    """The lower-cased letter that a code point is, or 0."""
+    x = chr(c)
+    low = x.lower()
+    return 0 if not x.isalpha() else ord(low) if len(low) == 1 else c
 
 
 _table: list[np.ndarray] = []
 
 
 def letters(text: str) -> np.ndarray:
-    """The text's units as lower-cased letters, each run of others as one 0."""
+    """The text's code points as lower-cased letters, each run of others as one 0."""
     if not _table:
-        _table.append(_letter_table())
-    units = _table[0][np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
-    keep = units != 0
-    keep[1:] |= units[:-1] != 0
-    return units[keep]
+        _table.append(np.array([_letter(c) for c in range(1 << 16)], dtype=np.uint32))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    found = _table[0][points & np.uint32(0xFFFF)]
+    beyond = points > 0xFFFF
+    if beyond.any():
+        values, place = np.unique(points[beyond], return_inverse=True)
+        found[beyond] = np.array([_letter(int(c)) for c in values], dtype=np.uint32)[place]
+    keep = found != 0
+    keep[1:] |= found[:-1] != 0
+    return found[keep]
 
 
 def gram_counts(text: str, bits: int) -> np.ndarray | None:

@@ -33,6 +33,11 @@ def test_pieces_count_alike(monkeypatch):
     assert (g.gram_counts(text, 10) != whole).sum() == 0
 
 
+def test_letters_are_letters():
+    assert g.gram_counts("\U0001f600 123 !?", 10) is None and g.gram_counts("\U00010400", 10) is not None
+    assert g.letters("Ab1 \u00c9\U0001f600x").tolist() == [97, 98, 0, 0xE9, 0, ord("x")]
+
+
 def test_edges(spark, edge, empty):
     got = {r.doc_id: r for r in g.languages(edge).collect()}
     assert {k for k, r in got.items() if r.lang_pred == "und"} == {1, 2, 3, 10}
