@@ -126,3 +126,20 @@ def verdict(maxima: DataFrame, limits: dict[str, tuple[float, float]], complete:
         fails.append(F.when(~complete, F.lit("incomplete")))
     out = maxima.withColumn("failures", F.array_compact(F.array(*fails))).withColumn("warnings", F.array_compact(F.array(*warns)))
     return out.withColumn("passed", F.size("failures") == 0).withColumn("alert", F.when(F.size("failures") > 0, "FAIL").when(F.size("warnings") > 0, "WARN").otherwise("PASS"))
+
+
+#: Where a displaced black or white may lie (first, last, the first level beyond), and how it must stand out.
+BLACK, WHITE, SPIKE_SHARE, SPIKE_OVER_REST = (1, 16, 17), (239, 254, 238), 0.01, 3.0
+
+
+def stretch_points(levels: list[int]) -> tuple[int, int]:
+    """(black, white) of a histogram of 256 levels: the level of a spike near either end that holds enough of all samples, stands
+    out from the others there and from the first level beyond; 0 and 255 where there is none."""
+
+    def spike(first: int, last: int, beyond: int, none: int) -> int:
+        peak = max(range(first, last + 1), key=lambda v: (levels[v], -v))
+        rest = sum(levels[first : last + 1]) - levels[peak]
+        stands_out = levels[peak] >= SPIKE_OVER_REST * max(rest / (last - first), 1.0) and levels[peak] > levels[beyond]
+        return peak if levels[peak] and levels[peak] >= SPIKE_SHARE * sum(levels) and stands_out else none
+
+    return spike(*BLACK, 0), spike(*WHITE, 255)

@@ -116,11 +116,16 @@ def changed_cells(tiles_df: DataFrame) -> DataFrame:
     return tiles_df.withColumn("_c", (before.isNotNull() & (before != F.col("keys"))).cast("int")).groupBy("frame").agg(F.sum("_c").alias("changed"), F.count("*").alias("cells"))
 
 
-def perceptual(current: np.ndarray, candidate: np.ndarray, mean_luma: float, max_luma: float, mean_chroma: float) -> np.ndarray:
+#: Weights of luma and of the two colour differences, and the limits of "near" and "fallback".
+LUMA, BLUENESS, REDNESS = (0.299, 0.587, 0.114), (-0.169, -0.331, 0.5), (0.5, -0.419, -0.081)
+NEAR, FALLBACK = (10.0, 28.0, 24.0), (120.0, 252.0, 200.0)
+
+
+def perceptual(current: np.ndarray, candidate: np.ndarray, mean_luma: float = NEAR[0], max_luma: float = NEAR[1], mean_chroma: float = NEAR[2]) -> np.ndarray:
     """Which tiles (n, 64, 3) are near enough to stand for one another: by mean and greatest luma and mean chroma difference."""
-    y = np.abs(luma(current) - luma(candidate))
-    d = current.astype(np.int64) - candidate.astype(np.int64)
-    chroma = (np.abs(d[..., 2] - d[..., 1]) + np.abs(d[..., 0] - d[..., 1])) / 2
+    d = current.astype(np.float64) - candidate.astype(np.float64)
+    y = np.abs(d @ np.array(LUMA))
+    chroma = np.hypot(d @ np.array(BLUENESS), d @ np.array(REDNESS))
     return (y.mean(axis=1) <= mean_luma) & (y.max(axis=1) <= max_luma) & (chroma.mean(axis=1) <= mean_chroma)
 
 

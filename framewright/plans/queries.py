@@ -627,10 +627,10 @@ def stream_buffer(spark, sf):
     return df.agg(F.min("balance").alias("least"), F.max("balance").alias("most"), F.max_by("balance", "frame").alias("last"), F.min(F.when(F.col("balance") < 0, F.col("frame"))).alias("first_underflow"))
 
 
-@query("o10_31_transfer_words", "SELECT l_orderkey, count(*) * 16 + count(DISTINCT l_suppkey) * 11 + CASE WHEN bool_or(l_returnflag = 'R') THEN 64 ELSE 0 END + CAST(sum(l_linenumber) AS BIGINT) AS words FROM lineitem GROUP BY 1")
+@query("o10_31_transfer_words", "SELECT l_orderkey, count(*) * 16 + count(DISTINCT l_suppkey) + CASE WHEN bool_or(l_returnflag = 'R') THEN 64 ELSE 0 END + CAST(sum(l_linenumber) AS BIGINT) AS words FROM lineitem GROUP BY 1")
 def transfer_words(spark, sf):
     g = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("patterns"), F.count_distinct("l_suppkey").alias("runs"), F.bool_or(F.col("l_returnflag") == "R").alias("switch"), F.sum("l_linenumber").alias("names"))
-    return g.select("l_orderkey", fn.transfer_words(F.col("patterns"), F.col("runs"), F.col("switch"), F.col("names"), 16, 11, 64).alias("words"))
+    return g.select("l_orderkey", fn.transfer_words(F.col("patterns"), F.col("runs"), F.col("switch"), F.col("names"), 16, 1, 64).alias("words"))
 
 
 @query("o10_33_plane_cells", f"WITH {EVENTS} SELECT frame, CAST(((frame % 36 + (x + 4) // 8) % 64) AS BIGINT) AS cell_x, CAST(((frame % 25 - (x % 90) // 8) % 32 + 32) % 32 AS BIGINT) AS cell_y FROM ev")

@@ -83,6 +83,18 @@ def test_perceptual_and_global_palettes():
     assert {0, 9} <= set(tiles.keys_of(found[group[0]].astype(int)).tolist())
 
 
+def test_stretch_points():
+    from framewright.operators.stats import stretch_points
+
+    levels = [10] * 256
+    assert stretch_points(levels) == (0, 255)
+    levels[7], levels[250] = 900, 900
+    assert stretch_points(levels) == (7, 250)
+    levels[17] = 2_000
+    assert stretch_points(levels)[0] == 0
+    assert stretch_points([0] * 256) == (0, 255)
+
+
 def test_mapping_noise(spark):
     palettes = {0: np.zeros((15, 3), int), 1: np.full((15, 3), 7)}
     t = spark.createDataFrame([(0, 0, [0] * 64), (0, 1, [0] * 60 + [511] * 4)], "frame long, cell int, keys array<smallint>")
