@@ -77,7 +77,7 @@ def flatten_low_detail(spark, sf):
     return read(spark, sf, "embeddings").select("vec_id", F.posexplode(flat).alias("i", "v")).select("vec_id", "i", F.round("v", 6).alias("v"))
 
 
-@query("o3_12_priority_aging", f"WITH {EVENTS} SELECT frame, CAST(1 + 0.6 * least(x % 25, 10) AS DOUBLE) AS weight, least(x / 192.0 / 24, 2.0) AS step FROM ev")
+@query("o3_12_priority_aging", f"WITH {EVENTS} SELECT frame, 1::DOUBLE + 0.6::DOUBLE * least(x % 25, 10)::DOUBLE AS weight, least(x / 192.0 / 24, 2.0) AS step FROM ev")
 def priority_aging(spark, sf):
     return events(spark, sf).select("frame", fn.priority_aging(F.col("x") % 25).alias("weight"), fn.distance_step(F.col("x")).alias("step"))
 
@@ -559,9 +559,9 @@ def distinct_union(spark, sf):
     return read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf, "supplier").select("s_nationkey")).distinct()
 
 
-@query("o8_04_source_only", "SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("o8_04_source_only", "SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def source_only(spark, sf):
-    return ranking.only_left(read(spark, sf, "part"), read(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
+    return ranking.only_left(read(spark, sf, "part"), read(spark, sf, "lineitem").where("l_quantity > 48").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
 
 
 @query("o8_06_intersection", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
