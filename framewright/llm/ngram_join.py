@@ -14,8 +14,9 @@ exact: nothing is sampled or capped.
    a set's shingles the longest are put aside, the short ones are merged by a heap that skips (MergeSkip; long merges sort
    the joined runs), and what reaches the reduced threshold is completed by binary probes of the long lists. Candidates that
    are already in one group are not probed: they can add no connection.
-4. A block over ``block_shingles`` is dealt into blocks by hash. Each of them is searched within itself; then the texts
-   outside the largest group, if any, are searched against all blocks. Two texts inside that group need no comparison.
+4. A block over ``block_shingles`` is dealt into pieces by hash. Each is searched within itself; then its few texts with most
+   links are asked of all pieces; then the texts outside the largest group, if any, are. Two texts inside that group need no
+   comparison.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows are copies; other columns are ignored; an empty table gives an empty result.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,8 @@ from ._common import batches_of, components, durable, forest, small
 from ._text import byte_rows, mix, shingles, word_hashes
 
 SHINGLE_WORDS, PERCENT, BLOCK_SHINGLES = 4, 85, 500_000
+#: Texts of each piece of a large block that are asked of all pieces first.
+HEADS = 4
 #: Texts that a Python worker holds at once; equal sets of one batch are posted once.
 TEXTS_A_BATCH = 2_000
 
@@ -268,9 +272,11 @@ def _links(sets: DataFrame, percent: int, most: int, tasks: int) -> DataFrame:
         return links
     large = durable(large.withColumn("of", F.ceil(2 * F.col("weight") / most).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")))
     within = durable(run(large.select(F.xxhash64("block", "piece").alias("task"), F.xxhash64("block", "piece").alias("block"), "id", F.lit(-1).alias("asked"), "shingles")))
-    # One text of each piece's largest group is asked of every piece, which joins the pieces' groups.
-    group = large.select("block", "piece", "of", "id").join(components(within), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    heads = group.groupBy("block", "piece", "of", "root").count().groupBy("block", "piece", "of").agg(F.max_by("root", F.struct("count", "root")).alias("id"))
+    # The texts with most links of each piece are asked of every piece. A text that many others were made from links them all,
+    # though they may not link with one another.
+    degree = within.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    first = F.row_number().over(W.partitionBy("block", "piece").orderBy(F.desc("links"), "id"))
+    heads = large.select("block", "piece", "id").join(degree, "id").withColumn("place", first).where(F.col("place") <= HEADS)
     across = durable(run(_against(large, large.join(heads.select("id"), "id", "left_semi"), most)).union(within))
     group = large.select("block", "id").join(components(across), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     main = group.groupBy("block", "root").count().groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))

@@ -64,6 +64,23 @@ def test_equals_brute_force(spark, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
 
 
+def test_copies_that_only_their_base_links(spark):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(260)]
+    docs = [(1_000, " ".join(base))]
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(0, 260, 5), 5):
+            w[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    expected = brute(docs)
+    assert {c for _, c in expected.values()} == {0}
+    pairs = [(a, b) for a, b in ((docs[3], docs[4]), (docs[9], docs[20]))]
+    assert any(len({c for _, c in brute(list(p)).values()}) == 2 for p in pairs)
+    got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), block_shingles=3_000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+
+
 def test_equals_brute_force_at_other_limits(spark):
     docs = groups(5)
     got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=2, percent=60).collect()
