@@ -1,4 +1,4 @@
-"""Queries of operators that SQL does not express; tests hold them against plain versions."""
+"""Queries of kernels and folds. Most have no SQL; tests hold them against plain versions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from framewright.operators import motion, planning, signal, tiles
 
 from .queries import query
-from .traces import days, events, read
+from .traces import DAYS, days, events, read
 
 
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +35,13 @@ def dithered(spark, sf):
     return tiles.tiles(_frames(spark, sf), "edge").select("frame", "cell", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
 
 
-@query("o9_04_line_assignment")
+_LINES_SQL = """WITH px AS (SELECT vec_id AS frame, (CAST(least(greatest(round((unnest(embedding)::DOUBLE + 0.5) * 255), 0), 255) AS BIGINT) * 7 + 127) // 255 AS q FROM embeddings),
+cost AS (SELECT k, q, min(3 * (q - least(i // 2 + k, 7)) * (q - least(i // 2 + k, 7))) AS err FROM range(4) a(k), range(8) b(q), range(15) c(i) GROUP BY k, q),
+e AS (SELECT frame, k, CAST(sum(err) AS BIGINT) AS error FROM px JOIN cost USING (q) GROUP BY 1, 2)
+SELECT frame, CAST(cell AS INTEGER) AS cell, CAST(arg_min(k, error * 4 + k) AS INTEGER) AS line, min(error) AS error FROM e, range(16) t(cell) GROUP BY 1, 2"""
+
+
+@query("o9_04_line_assignment", _LINES_SQL)
 def lines(spark, sf):
     return tiles.assign_lines(tiles.tiles(_frames(spark, sf)), tiles.nearest_lut(spark, _palettes()))
 
@@ -120,6 +126,14 @@ def sweep(spark, sf):
     return planning.ratchet_sweep(df, [(a, p) for a in (200, 400, 800, 1_600) for p in (0, 250, 500)], 1_668.3, 240.0, 2)
 
 
-@query("o10_29_queue_replay")
+_QUEUE_SQL = f"""WITH RECURSIVE {DAYS}, s AS (SELECT frame // 250 AS stream, frame, supply AS a, demand AS n FROM dy),
+q(stream, frame, level, missing, refused) AS (
+  SELECT stream, frame, greatest(0, least(2000, a) - n), greatest(0, n - least(2000, a)), greatest(0, a - 2000) FROM s WHERE frame % 250 = 0
+  UNION ALL SELECT s.stream, s.frame, greatest(0, least(2000, q.level + a) - n), greatest(0, n - least(2000, q.level + a)), greatest(0, q.level + a - 2000)
+  FROM q JOIN s ON s.stream = q.stream AND s.frame = q.frame + 1)
+SELECT stream, frame, level, missing, refused FROM q"""
+
+
+@query("o10_29_queue_replay", _QUEUE_SQL)
 def replay(spark, sf):
     return planning.replayed(_by_stream(spark, sf).withColumnsRenamed({"supply": "arrives", "demand": "needs"}), 2_000)
