@@ -11,7 +11,8 @@ dropped or repeated. The rows' order within a source is that of a hash of their
 in any task.
 
 Defined results: a null source is a source; weights of unknown sources are ignored and sources without a weight get the least
-one; repeated rows keep places of their own; an empty table gives no rows; other columns are kept.
+one; repeated rows keep places of their own; an empty table gives no rows; other columns are kept; more than ``MAX_SOURCES`` sources
+are an error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from ._common import slots
 
 BLOCK_ROWS, PERIOD, POWER = 8, 1_000, 0.5
+#: Sources that can be scheduled; the plan has a row for each source and phase. More must be put into groups first.
+MAX_SOURCES = 2_000
 
 
 def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -85,6 +88,8 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     """
     spark = docs.sparkSession
     rows = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).collect()}
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"{len(rows)} sources; at most {MAX_SOURCES} can be scheduled")
     if weights is None:
         weights = {s: n**power for s, n in rows.items()}
     else:
