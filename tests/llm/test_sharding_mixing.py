@@ -90,3 +90,19 @@ def test_mixing_edges(edge, empty):
     assert mixing.mixed(empty).collect() == []
     out = mixing.mixed(edge)
     assert out.columns == edge.columns and sorted(map(str, out.collect())) == sorted(map(str, edge.collect()))
+
+
+def test_mixed_rows_stand_in_the_order_of_the_schedule(spark, small_dir):
+    from framewright.llm._common import written
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    order = [r.doc_id for r in mixing.mixture(docs).orderBy("position").collect()]
+    assert [r.doc_id for r in mixing.mixed(docs).collect()] == order
+    parts = sorted(written(mixing.mixed(docs)).inputFiles())
+    assert [r.doc_id for p in parts for r in spark.read.parquet(p).collect()] == order
+
+
+def test_too_many_sources_are_told(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError, match="3 sources"):
+        mixing.mixture(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, source string"))
