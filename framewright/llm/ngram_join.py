@@ -54,9 +54,15 @@ def spoiled(a: int, b: int, percent: int) -> int:
     return a + b - 2 * -(-percent * (a + b) // (100 + percent))
 
 
+def most_spoiled(a: int, b: int, percent: int) -> int:
+    """The most elements by which linked sets of sizes up to a and b can differ. ``spoiled`` has the parity of a + b and
+    rises along each parity only, so the sum below may allow one more."""
+    return max(0, spoiled(a, b, percent), spoiled(a, b - 1, percent))
+
+
 def parts_of(level: int, percent: int) -> int:
     """The number of parts for sets of 2^level to 2^(level+1) - 1 elements: 1.5 times what can be spoiled, at least K + 1."""
-    top = spoiled((2 << level) - 1, (2 << level) - 1, percent)
+    top = most_spoiled((2 << level) - 1, (2 << level) - 1, percent)
     return top + top // 2 + 1
 
 
@@ -74,7 +80,7 @@ def part_hashes(s: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for at in range(level, most.bit_length()):
         m = parts_of(at, percent)
-        keep = spoiled(n, min(most, (2 << at) - 1), percent) + 1
+        keep = most_spoiled(n, min(most, (2 << at) - 1), percent) + 1
         part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         edge = np.searchsorted(part, np.arange(m + 1))
         total = np.zeros(n + 1, dtype=np.uint64)

@@ -130,3 +130,34 @@ def test_words_are_cut_alike_in_pieces(monkeypatch):
     monkeypatch.setattr(_text, "PIECE", 7)
     assert (word_hashes(text) == whole).all()
     assert len(whole) == 250
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_enough_parts_are_posted_at_every_size(percent):
+    for a in range(1, 140):
+        for b in range(a, 100 * a // percent + 1):
+            # The most elements in which linked sets of these sizes differ, by the definition of a link.
+            differ = max((a + b - 2 * k for k in range(1, a + 1) if 100 * k >= percent * (a + b - k)), default=None)
+            if differ is None:
+                continue
+            level = b.bit_length() - 1
+            assert ngram_join.parts_of(level, percent) > differ, (a, b)
+            for n in (a, b):
+                most = min(100 * n // percent, (2 << level) - 1)
+                assert ngram_join.most_spoiled(n, most, percent) >= differ, (a, b)
+
+
+def test_appended_and_removed_words_meet_at_every_size():
+    rng = np.random.default_rng(4)
+    for n in range(1, 131):
+        for _ in range(30):
+            base = rng.integers(0, 2**63, 100 * n // 85, dtype=np.uint64)
+            short = set(ngram_join.part_hashes(np.sort(base[:n]), 85).tolist())
+            for more in range(n, len(base) + 1):
+                assert short & set(ngram_join.part_hashes(np.sort(base[:more]), 85).tolist()), (n, more)
+
+
+def test_one_word_appended_to_a_short_text(spark):
+    docs = [(1, "a b c d e f g h i"), (2, "a b c d e f g h i j"), (3, "q b c d e f g h i j k")]
+    got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs) == {1: (6, 1), 2: (7, 1), 3: (8, 3)}
