@@ -2,34 +2,48 @@
 
 A source's documents form blocks. With a weight w (a share of all), its block i (from 0) may not run before slot
 ``floor(i / w)`` (release) and must have run by slot ``ceil((i + 1) / w)`` (deadline). At each slot the released block with
-the earliest deadline runs. Weights are whole numbers over a common period, so that the schedule of one period, made on the
-driver for the sources (not the rows), tells the slot of each block in closed form, and after any number of slots each source
-is less than one block off its share.
+the earliest deadline runs. Weights are held as exact whole numbers of any length, so at every slot of the whole run each
+source is less than one block off its share of the target weights.
 
-When a source has no block left, a phase ends: the others go on with their weights scaled up, from a new period. No row is
-dropped or repeated. The rows' order within a source is that of a hash of their ids; the numbering sees no source as a whole
-in any task.
+When a source has no block left, a phase ends: the others go on with their weights scaled up. With n blocks a source and
+weights in proportion to w, slot ``T(v) = sum(min(n, w * v))`` is when the shares have come to ``w * v`` blocks each, so
+block i is released at ``floor(T(i / w))`` and due at ``ceil(T((i + 1) / w))``, through all phases. The driver schedules the
+blocks (not the rows), in a heap of the sources. No row is dropped or repeated. The rows' order within a source is that of a
+hash of their ids; the numbering sees no source as a whole in any task.
 
 Defined results: a null source is a source; weights of unknown sources are ignored and sources without a weight get the least
-one; repeated rows keep places of their own; an empty table gives no rows; other columns are kept; more than ``MAX_SOURCES`` sources
-are an error.
+one; repeated rows keep places of their own; an empty table gives no rows; other columns are kept; any number of sources is
+scheduled unless ``MAX_SOURCES`` is set, beyond which there is an error.
 """
 
 from __future__ import annotations
 
 import heapq
-
-from pyspark.sql import Column, DataFrame
+from array import array
+from bisect import bisect_right
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slots
+from ._common import slots, small
+
+BLOCK_ROWS, POWER = 8, 0.5
+#: If set, more sources than this are an error.
+MAX_SOURCES: int | None = None
+
 
-BLOCK_ROWS, PERIOD, POWER = 8, 1_000, 0.5
-#: Sources that can be scheduled; the plan has a row for each source and phase. More must be put into groups first.
-MAX_SOURCES = 2_000
+def exact_weights(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
+def whole_weights(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
     """Weights as whole numbers of at least 1 that add up to ``period`` or, with more sources than that, to their number."""
     period = max(period, len(weights))
     total, rest = sum(weights.values()), period - len(weights)
@@ -41,93 +55,85 @@ def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dic
     return out
 
 
+def schedule(blocks: dict[str | None, int], weights: dict[str | None, int]) -> tuple[list[str | None], dict[str, array]]:
+    """The sources, and one entry for each slot: the source (its place in the list), block, release, deadline and phase."""
+    names = sorted((s for s, n in blocks.items() if n), key=lambda s: (s is None, str(s)))
+    n, w = [blocks[s] for s in names], [weights[s] for s in names]
+    order = sorted(range(len(names)), key=lambda k: Fraction(n[k], w[k]))
+    ends = [n[k] / w[k] for k in order]
+    # T(v) is the least of gone + rate * v over the numbers of sources that have ended.
+    gone = list(accumulate((n[k] for k in order), initial=0))
+    rate = list(accumulate((-w[k] for k in order), initial=sum(w)))
+
+    def reached(k: int, i: int) -> int:
+        """w[k] * T(i / w[k])"""
+        at = bisect_right(ends, i / w[k])
+        found = gone[at] * w[k] + rate[at] * i
+        for step in (-1, 1):
+            while 0 <= at + step < len(gone) and (other := gone[at + step] * w[k] + rate[at + step] * i) < found:
+                at, found = at + step, other
+        return found
+
+    phase_ends = sorted({Fraction(reached(k, n[k]), w[k]) for k in range(len(names))})
+    out = {c: array("q") for c in ("source", "block", "release", "deadline", "phase")}
+    done, phase = [0] * len(names), 0
+    until = [reached(k, 1) for k in range(len(names))]
+    waiting = {0: [(0, k) for k in range(len(names))]}
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(sum(n)):
+        for release, k in waiting.pop(slot, ()):
+            heapq.heappush(ready, (-(-until[k] // w[k]), k, release))
+        deadline, k, release = heapq.heappop(ready)
+        # A phase ends with the slot in which a share is used up.
+        while phase_ends[phase] < slot + 1:
+            phase += 1
+        for c, v in zip(out, (k, done[k], release, deadline, phase), strict=True):
+            out[c].append(v)
+        done[k] += 1
+        if done[k] < n[k]:
+            release = until[k] // w[k]
+            until[k] = reached(k, done[k] + 1)
+            waiting.setdefault(max(release, slot + 1), []).append((release, k))
+    return names, out
+
+
 def period_slots(parts: dict[str | None, int]) -> dict[str | None, list[int]]:
     """For each source the slots of its blocks in one period, by earliest deadline among the released blocks."""
-    period = sum(parts.values())
-    names = sorted(parts, key=lambda s: (s is None, str(s)))
-    waiting = [(0, k, 0) for k in range(len(names))]
-    ready: list[tuple[int, int, int]] = []
+    names, plan = schedule(parts, parts)
     out: dict[str | None, list[int]] = {s: [] for s in names}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // parts[names[k]]), k, i))
-        _, k, i = heapq.heappop(ready)
+    for slot, k in enumerate(plan["source"]):
         out[names[k]].append(slot)
-        if i + 1 < parts[names[k]]:
-            heapq.heappush(waiting, ((i + 1) * period // parts[names[k]], k, i + 1))
-    return out
-
-
-def _slots_before(blocks: int, own: list[int], period: int) -> int:
-    """The slots that pass until a source has run so many blocks (at least one)."""
-    return (blocks - 1) // len(own) * period + own[(blocks - 1) % len(own)] + 1
-
-
-def phases(blocks: dict[str | None, int], weights: dict[str | None, float], period: int = PERIOD) -> list[dict]:
-    """Each phase: its first slot, its period, and for each source its first block and its slots in a period."""
-    out, done, first = [], dict.fromkeys(blocks, 0), 0
-    alive = {s for s, n in blocks.items() if n}
-    while alive:
-        parts = whole_weights({s: weights[s] for s in alive}, period)
-        own, length = period_slots(parts), sum(parts.values())
-        end = min(_slots_before(blocks[s] - done[s], own[s], length) for s in alive)
-        out.append({"first": first, "period": length, "sources": {s: (done[s], own[s]) for s in alive}})
-        for s in alive:
-            done[s] += end // length * len(own[s]) + sum(x < end % length for x in own[s])
-        first += end
-        alive = {s for s in alive if done[s] < blocks[s]}
     return out
 
 
-def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, power: float = POWER, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, power: float = POWER, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` (with no column that starts with an underscore but ``_row``) with _block, _phase, _release, _deadline, _slot and _position (a long, gapless from 0).
 
-    ``weights`` are by source (null as None); without them a source weighs its number of rows to the ``power``.
-    Release and deadline count slots from the start of the block's phase, as the slot does.
+    ``weights`` are by source (null as None); without them a source weighs its number of rows to the ``power``. With a
+    ``period`` they are first made whole numbers of that sum.
     """
     spark = docs.sparkSession
     rows = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).collect()}
-    if len(rows) > MAX_SOURCES:
+    if MAX_SOURCES is not None and len(rows) > MAX_SOURCES:
         raise ValueError(f"{len(rows)} sources; at most {MAX_SOURCES} can be scheduled")
     if weights is None:
         weights = {s: n**power for s, n in rows.items()}
     else:
         known = {s: w for s, w in weights.items() if s in rows and w > 0}
         weights = {s: known.get(s, min(known.values(), default=1.0)) for s in rows}
-    plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, weights, period)
-    table, last = [], {}
-    for k, p in enumerate(plan):
-        for s, (done, own) in p["sources"].items():
-            table.append((s, k, done, p["first"], p["period"], own))
-            last[s] = (k, done, p["first"], p["period"], own)
-    schema = "_s string, _phase int, _done long, _first long, _period long, _own array<int>"
-    plans = spark.createDataFrame(table, schema)
-    by_source = plans.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_done", "_phase", "_first", "_period", "_own"))).alias("_phases"))
-    short = sorted((_at(n // block_rows, last[s]), block_rows - n % block_rows) for s, n in rows.items() if n % block_rows)
-    numbered = slots(docs.withColumn("_s", F.col(source_col).cast("string")), "_s", [F.xxhash64(id_col), F.col(id_col)], "_n")
-    numbered = numbered.withColumnRenamed("_s", "_source").join(F.broadcast(by_source), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    block = F.expr(f"_n div {int(block_rows)}")
-    out = numbered.withColumn("_block", block).withColumn("_p", F.element_at(F.filter("_phases", lambda p: p["_done"] <= F.col("_block")), -1))
-    i, own = F.col("_block") - F.col("_p._done"), F.size("_p._own")
-    # The parts of a period: block i is the (i mod own)-th of period i div own.
-    turn, rank = F.floor(i / own), (i % own).cast("int")
-    slot = turn * F.col("_p._period") + F.get(F.col("_p._own"), rank)
-    out = out.withColumn("_phase", F.col("_p._phase")).withColumn("_slot", F.col("_p._first") + slot)
-    out = out.withColumn("_release", F.col("_p._first") + turn * F.col("_p._period") + F.floor(rank * F.col("_p._period") / own))
-    out = out.withColumn("_deadline", F.col("_p._first") + turn * F.col("_p._period") + F.ceil((rank + 1) * F.col("_p._period") / own))
+    names, plan = schedule({s: -(-n // block_rows) for s, n in rows.items()}, whole_weights(weights, period) if period and rows else exact_weights(weights))
     # A source's last block may be short; what stands behind it moves up.
-    position = F.col("_slot") * F.lit(block_rows) + F.col("_n") % F.lit(block_rows)
-    if short:
-        gaps = F.array(*[F.struct(F.lit(at).cast("long").alias("at"), F.lit(by).cast("long").alias("by")) for at, by in short])
-        position = position - F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, g: acc + F.when(g["at"] < F.col("_slot"), g["by"]).otherwise(F.lit(0).cast("long")))
-    return out.withColumn("_position", position.cast("long")).drop("_source", "_s", "_n", "_phases", "_p")
-
-
-def _at(block: int, phase: tuple) -> int:
-    """The slot of a block in the last phase of its source."""
-    _, done, first, period, own = phase
-    return first + (block - done) // len(own) * period + own[(block - done) % len(own)]
+    sizes = (min(block_rows, rows[names[k]] - i * block_rows) for k, i in zip(plan["source"], plan["block"], strict=True))
+    starts = array("q", accumulate(sizes, initial=0))[:-1]
+    whole = lambda c: pa.array(memoryview(plan[c]), pa.int64())
+    n = len(starts)
+    columns = {"_s": pa.array(names, pa.string()).take(whole("source")), "_b": whole("block"), "_phase": whole("phase").cast(pa.int32()), "_release": whole("release"), "_deadline": whole("deadline"), "_slot": pa.array(range(n), pa.int64()), "_start": pa.array(memoryview(starts), pa.int64())}
+    plans = spark.createDataFrame(pa.table(columns), "_s string, _b long, _phase int, _release long, _deadline long, _slot long, _start long")
+    numbered = slots(docs.withColumn("_source", F.col(source_col).cast("string")), "_source", [F.xxhash64(id_col), F.col(id_col)], "_n")
+    numbered = numbered.withColumn("_block", F.expr(f"_n div {int(block_rows)}"))
+    out = numbered.join(small(plans, n), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
+    position = F.col("_start") + F.col("_n") % F.lit(block_rows)
+    return out.withColumn("_position", position.cast("long")).drop("_source", "_s", "_b", "_n", "_start")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

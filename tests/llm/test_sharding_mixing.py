@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from fractions import Fraction
 from math import ceil, floor
 
 import pytest
@@ -106,3 +107,53 @@ def test_too_many_sources_are_told(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError, match="3 sources"):
         mixing.mixture(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, source string"))
+
+
+def lags(weights, blocks):
+    """The most any source is off its share, over all slots until the first share is used up."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    names, plan = mixing.schedule(blocks, mixing.exact_weights(weights))
+    done, worst = dict.fromkeys(names, 0), 0
+    for t in range(floor(min(blocks[s] * total / exact[s] for s in names)) + 1):
+        worst = max(worst, *(abs(t * exact[s] / total - done[s]) for s in names))
+        if t < len(plan["source"]):
+            done[names[plan["source"][t]]] += 1
+    return worst
+
+
+def test_sources_keep_to_the_target_weights_themselves():
+    rows = {f"s{k:02}": 1_000 for k in range(19)} | {"big": 9_500}
+    weights = {s: n**0.5 for s, n in rows.items()}
+    assert lags(weights, dict.fromkeys(rows, 500)) < 1
+    assert lags({"third": 100.0} | {f"s{k}": 1.0 for k in range(200)}, {"third": 1_500} | {f"s{k}": 15 for k in range(200)}) < 1
+
+
+def test_windows_hold_through_all_phases():
+    blocks = {"a": 40, "b": 7, "c": 13, "d": 1, None: 90}
+    weights = mixing.exact_weights({"a": 0.3, "b": 0.1, "c": 2**0.5, "d": 3.0, None: 1.0})
+    names, plan = mixing.schedule(blocks, weights)
+    assert Counter(names[k] for k in plan["source"]) == blocks
+    assert all(r <= slot < d for slot, (r, d) in enumerate(zip(plan["release"], plan["deadline"], strict=True)))
+    # The shares, slot by slot from their definition: what is left of a slot goes to the sources that have blocks left.
+    share, done = dict.fromkeys(blocks, Fraction(0)), Counter()
+    for slot, k in enumerate(plan["source"]):
+        room = Fraction(1)
+        while room:
+            alive = [s for s in blocks if share[s] < blocks[s]]
+            total = sum(weights[s] for s in alive)
+            step = min(room, *((blocks[s] - share[s]) * total / weights[s] for s in alive))
+            for s in alive:
+                share[s] += step * weights[s] / total
+            room -= step
+        done[names[k]] += 1
+        assert all(abs(share[s] - done[s]) < 1 for s in blocks), slot
+
+
+def test_any_number_of_sources(spark):
+    rows = [(k, f"s{k % 2_500}") for k in range(2_500)] + [(k, "big") for k in range(2_500, 7_500)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string"), weights={f"s{k}": 1.0 for k in range(2_500)} | {"big": 625.0}).collect()
+    assert sorted(r.position for r in got) == list(range(7_500))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    slots = sorted({r.slot for r in got if r.source == "big"})
+    assert all(abs((t + 1) / 5 - sum(x <= t for x in slots)) < 1 for t in range(0, 3_125, 25))
