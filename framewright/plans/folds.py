@@ -122,7 +122,7 @@ def filled(spark, sf):
 
 @query("o10_28_ratchet_sweep")
 def sweep(spark, sf):
-    df = events(spark, sf).select("frame", (F.col("x") / 4).alias("work"), (F.col("state") == "error").alias("at_start")).where("frame < 4000")
+    df = events(spark, sf).select("frame", (F.col("x") / 4).alias("work"), (F.col("state") == "error").alias("at_start"))
     return planning.ratchet_sweep(df, [(a, p) for a in (200, 400, 800, 1_600) for p in (0, 250, 500)], 1_668.3, 240.0, 2)
 
 

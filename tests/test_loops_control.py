@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import io
 import random
 import struct
@@ -106,3 +108,22 @@ def test_rendering_flicker_and_budgets(spark):
     t = spark.createDataFrame([(f, k, v) for f, cells in enumerate(keys) for k, v in enumerate(cells)], "frame long, cell int, keys array<smallint>")
     got = {(r.frame, r.cell) for r in tiles.most_changed(t, 2).where("sent").collect()}
     assert got == {(0, 1), (0, 2), (1, 0)}
+
+
+def test_ratchet_sweep_reads_the_whole_trace(spark):
+    import pyarrow.parquet as pq
+
+    from framewright import catalog
+    from framewright.operators import planning
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = sorted(pq.read_table(f"{sf_dir}/events.parquet").to_pylist(), key=lambda r: (r["ts"], r["event_id"]))
+    assert len(rows) > 4_000
+    steps = [(k, int(Decimal(str(r["value"] * 100)).quantize(Decimal(1), ROUND_HALF_UP)) / 4, r["event_type"] == "error") for k, r in enumerate(rows)]
+    expected = set()
+    for setup in (200, 400, 800, 1_600):
+        for phase in (0, 250, 500):
+            late, margin = planning.ratchet(steps, 1_668.3, 240.0, 2, float(setup), float(phase))
+            expected.add((setup, phase, len(late), round(margin, 6)))
+    got = catalog.queries()["o10_28_ratchet_sweep"](spark, sf_dir).collect()
+    assert {(r.setup, r.phase, r.late, round(r.margin, 6)) for r in got} == expected
