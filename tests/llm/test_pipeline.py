@@ -25,3 +25,15 @@ def test_every_stage_but_the_last_returns_documents(spark, small_dir):
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "sharding"]
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, small_dir).schema == docs.schema
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, small_dir):
+    from test_ngram_join import brute, groups
+
+    # A block of words added: 4- and 5-word Jaccard are both about 0.82.
+    base = [f"a{k}" for k in range(200)]
+    docs = [*groups(), (9_000, " ".join(base)), (9_001, " ".join(base[:100] + [f"n{k}" for k in range(38)] + base[100:]))]
+    kept = {i for i, (_, root) in brute(docs, 5, 80).items() if root == i}
+    assert 9_001 not in kept and 9_001 in {i for i, (_, root) in brute(docs).items() if root == i}
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), small_dir).collect()
+    assert {r.doc_id for r in got} == kept
