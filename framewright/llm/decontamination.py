@@ -1,14 +1,18 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-1. The corpus frequency of each benchmark word is counted over all documents.
-2. A benchmark item is cut into windows of ``window`` consecutive words (an item of fewer words is one window). Each
-   window's words are ordered from the rarest; a window with a word that the corpus lacks cannot occur and is dropped.
-   The rarest word is its anchor.
-3. The index: one posting for each place where an anchor stands in a document, (term, row, position), with the words
-   around it as payload. It is written to the checkpoint folder.
-4. Postings meet the windows of their anchor; the lists of the other words, adjusted by their offsets, are intersected
-   from the rarest on, so that all but true occurrences end at the first or second word. A proximity match is a place
-   whose surroundings hold at least ``near`` of a window's distinct words in any order.
+1. The index: one posting (row, doc_id, term, position) for each place in the corpus of each word that a benchmark text
+   holds, and one with the term ``HEADER`` for each document, whose position is its number of words. It is written once,
+   by one scan of the documents, as a Parquet table in the checkpoint folder; all that follows reads its columns only.
+2. Corpus frequencies of the benchmark's words are counts over the index.
+3. Exact phrases. A text is cut into windows of ``window`` consecutive words (a text of fewer words is one window). The
+   posting list of each window's rarest word gives places where it may start; that of the next rarest word, shifted by its
+   offset, is joined with them. The places left are turned into diagonals (document position less text position), and the
+   posting lists of all words of their windows, shifted likewise, are joined: runs of as many consecutive text positions
+   as a window has words are its occurrences.
+4. Proximity. A text is also cut into consecutive blocks of ``window`` words, the last one ending with the text. A match is
+   a stretch of ``stretch`` document words that holds, in any order, at least ``near`` percent of a block's distinct words.
+   Then at most d words are missing, so two of the d + 2 rarest stand in it: their lists are joined by block, and only
+   where two meet the lists of all the block's words are read. A word that the corpus lacks counts as a missing one.
 
 DataFrame functions only. Defined results: a null text has no words; a null item id or text gives no window; equal item
 ids are one item; a repeated document row is a document of its own; other columns are ignored; empty tables give
@@ -20,14 +24,16 @@ from __future__ import annotations
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import durable, small
+from ._common import durable, small, written
 
-WINDOW, NEAR = 13, 0.8
-#: Anchors that one scan of the documents looks for; more are looked for in further scans.
-ANCHORS_A_SCAN = 50_000
+WINDOW, NEAR = 13, 80
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The term of a document's header posting; no word has a separator.
+HEADER = -1
+_HEADER_WORD = "\x00"
 
 
 def low(text: Column) -> Column:
@@ -43,75 +49,105 @@ def with_words(df: DataFrame, text: str, into: str = "words") -> DataFrame:
     return raw.withColumn(into, F.slice("_raw", first + 1, F.greatest(F.size("_raw") - first - last, F.lit(0)))).drop("_raw")
 
 
-def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """Rows (item_id, at, words): the windows of each item."""
-    worded = with_words(items.where("item_id is not null and text is not null"), "text").where(F.size("words") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
-    return worded.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", "at", F.slice("words", F.col("at") + 1, F.lit(window)).alias("words")).distinct()
-
-
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (word, n): how often each word of ``terms`` (word) stands in the documents (text)."""
-    pieces = docs.select(F.explode(F.split(low(F.col("text")), SEPARATORS)).alias("word"))
-    return pieces.join(small(terms), "word").groupBy("word").agg(F.count("*").alias("n"))
-
-
-def positional_index(docs: DataFrame, terms: list[str], around: int) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): row, doc_id, n_words and its postings of ``terms``.
-
-    ``postings`` are (term, position, left, near): ``near`` holds the words from ``left`` on, up to ``around`` on either side.
-    """
-    worded = with_words(docs, "text")
-    found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(terms), i)), lambda i: i.isNotNull()) if terms else F.array().cast("array<int>")
-    left = lambda i: F.greatest(i - around, F.lit(0))
-    posting = lambda i: F.struct(F.get("words", i).alias("term"), i.alias("position"), left(i).alias("left"), F.slice("words", left(i) + 1, i - left(i) + 1 + around).alias("near"))
-    found = worded.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").alias("n_words"), "words", found.alias("found"))
-    return found.select("row", "doc_id", "n_words", F.transform("found", posting).alias("postings"))
-
-
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): the rows of ``docs`` (row, doc_id, n_words), and what was found in them.
-
-    ``found`` has one row for each place: row, item_id, at (the window's place in its item), start and stop (word positions,
-    stop exclusive; null for a mere proximity match) and shared (the part of the window's distinct words that stand near).
-    """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    windows = durable(item_windows(items, window))
-    counts = durable(term_counts(docs, windows.select(F.explode("words").alias("word")).distinct()))
-    n = counts.count()
-    places = windows.select("item_id", "at", "words", F.posexplode("words").alias("offset", "word")).join(small(counts, n), "word", "left")
-    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset")))
-    windows = places.groupBy("item_id", "at", "words").agg(ordered.alias("order")).where(F.col("order")[0]["n"] > 0)
-    windows = durable(windows.select("item_id", "at", "words", F.col("order.offset").alias("order"), F.col("order")[0]["offset"].alias("offset"), F.get("words", F.col("order")[0]["offset"]).alias("term")))
-    anchors = sorted(r[0] for r in windows.select("term").distinct().collect())
-    index = durable(positional_index(docs, anchors[:ANCHORS_A_SCAN], window - 1))
-    postings = index.select("row", F.inline("postings"))
-    for k in range(ANCHORS_A_SCAN, len(anchors), ANCHORS_A_SCAN):
-        more = durable(positional_index(docs, anchors[k : k + ANCHORS_A_SCAN], window - 1))
-        postings = postings.union(more.select("row", F.inline("postings")))
-    begin = F.col("position") - F.col("offset") - F.col("left")
-    fits = (begin >= 0) & (begin + F.size("words") <= F.size("near"))
-    phrase = fits & F.forall("order", lambda k: F.get("near", begin + k) == F.get("words", k))
-    shared = F.size(F.array_intersect("near", "words")) / F.size(F.array_distinct("words"))
-    met = postings.join(small(windows), "term").select("row", "item_id", "at", F.when(phrase, begin + F.col("left")).alias("start"), F.size("words").alias("length"), shared.alias("shared"))
-    found = met.where(F.col("start").isNotNull() | (F.col("shared") >= near))
-    return index.select("row", "doc_id", "n_words"), found.select("row", "item_id", "at", "start", (F.col("start") + F.col("length")).alias("stop"), "shared")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: float = NEAR) -> DataFrame:
+def item_words(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, terms) of the benchmark: rows (tid, item_id, n, at, term) for each word of each text, and (term, word)."""
+    texts = with_words(items.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct(), "text")
+    texts = durable(texts.where(F.size("words") > 0).select(F.monotonically_increasing_id().alias("tid"), "item_id", F.size("words").alias("n"), "words"))
+    terms = durable(texts.select(F.explode("words").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("term")))
+    places = texts.select("tid", "item_id", "n", F.posexplode("words").alias("at", "word")).join(small(terms), "word")
+    return durable(places.select("tid", "item_id", "n", "at", "term")), terms
+
+
+def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings (row, doc_id, term, position) of ``docs`` (doc_id, text) for ``terms`` (word, term), and the headers."""
+    worded = with_words(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text")), "text")
+    words = worded.select("row", "doc_id", F.posexplode(F.array_append("words", F.lit(_HEADER_WORD))).alias("position", "word"))
+    known = terms.union(terms.sparkSession.createDataFrame([(_HEADER_WORD, HEADER)], terms.schema))
+    return written(words.join(small(known), "word").select("row", "doc_id", "term", "position"))
+
+
+def _of_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
+    return index.join(small(terms.distinct()), "term", "left_semi")
+
+
+def _of_rows(index: DataFrame, rows: DataFrame) -> DataFrame:
+    return index.where(F.col("term") != HEADER).join(small(durable(rows.select("row").distinct())), "row", "left_semi").select("row", "position", "term")
+
+
+def phrases(index: DataFrame, places: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (row, tid, item_id, start, stop): the longest runs of words that occurrences of a text's windows cover."""
+    ranked = places.join(small(counts), "term", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    size = F.least(F.col("n"), F.lit(window))
+    first = F.explode(F.sequence(F.greatest(F.col("at") - size + 1, F.lit(0)), F.least(F.col("at"), F.col("n") - size)))
+    inside = ranked.select("tid", size.alias("size"), "at", "term", "freq", first.alias("first"))
+    order = F.sort_array(F.collect_list(F.struct("freq", F.col("at"), "term")))
+    windows = inside.groupBy("tid", "first", "size").agg(order.alias("order"))
+    second = F.coalesce(F.get("order", F.lit(1)), F.get("order", F.lit(0)))
+    windows = windows.where(F.col("order")[0]["freq"] > 0).select("tid", "first", "size", F.col("order")[0]["at"].alias("at1"), F.col("order")[0]["term"].alias("term1"), second["at"].alias("at2"), second["term"].alias("term2"))
+    windows = durable(windows)
+    one = _of_terms(index, windows.select(F.col("term1").alias("term")))
+    met = one.join(small(windows), F.col("term") == F.col("term1")).withColumn("diagonal", F.col("position") - F.col("at1"))
+    met = met.where(F.col("diagonal") + F.col("first") >= 0).select("row", "tid", "first", "size", "diagonal", "term2", (F.col("diagonal") + F.col("at2")).alias("place2"))
+    two = _of_terms(index, windows.select(F.col("term2").alias("term"))).select(F.col("row").alias("row2"), "term", "position")
+    met = durable(met.join(two, (F.col("row") == F.col("row2")) & (F.col("place2") == F.col("position")) & (F.col("term2") == F.col("term"))).select("row", "tid", "diagonal", "first", "size"))
+    asked = met.select("row", "tid", "diagonal", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)).alias("at")).distinct()
+    asked = asked.join(small(places), ["tid", "at"]).withColumn("position", F.col("diagonal") + F.col("at"))
+    stand = asked.join(_of_rows(index, met), ["row", "position", "term"], "left_semi")
+    run = F.col("at") - F.row_number().over(W.partitionBy("row", "tid", "diagonal").orderBy("at"))
+    runs = stand.withColumn("run", run).groupBy("row", "tid", "item_id", "n", "diagonal", "run").agg(F.min("position").alias("start"), F.count("*").cast("int").alias("length"))
+    return runs.where(F.col("length") >= size).select("row", "tid", "item_id", "start", (F.col("start") + F.col("length")).alias("stop"))
+
+
+def proximity(index: DataFrame, places: DataFrame, counts: DataFrame, window: int = WINDOW, near: int = NEAR, stretch: int | None = None) -> DataFrame:
+    """Rows (row, tid, item_id, at, start, words): stretches from document word ``start`` on that hold ``words`` of the
+    distinct words of the block that starts at ``at``, ``near`` percent or more."""
+    stretch = stretch or window + window // 4
+    last = F.greatest(F.col("n") - window, F.lit(0))
+    block = F.explode(F.array_distinct(F.filter(F.array((F.col("at") - F.col("at") % window), last), lambda b: (b <= F.col("at")) & (F.col("at") < b + window) & (b <= last))))
+    words = places.select("tid", "item_id", "term", block.alias("block")).distinct().join(small(counts), "term", "left")
+    rank = F.row_number().over(W.partitionBy("tid", "block").orderBy(F.coalesce("freq", F.lit(0)), "term"))
+    words = words.withColumn("rank", rank).withColumn("distinct", F.count("*").over(W.partitionBy("tid", "block")))
+    words = words.withColumn("need", F.ceil(F.col("distinct") * near / 100).cast("int"))
+    words = durable(words.select("tid", "item_id", "block", "term", "rank", "need", (F.col("distinct") - F.col("need")).alias("spare")))
+    rare = words.where(F.col("rank") <= F.col("spare") + 2)
+    met = _of_terms(index, rare.select("term")).join(small(rare), "term").select("row", "tid", "block", "position", "rank", "need")
+    around = W.partitionBy("row", "tid", "block").orderBy("position").rangeBetween(1 - stretch, stretch - 1)
+    met = met.withColumn("_low", F.min("rank").over(around)).withColumn("_high", F.max("rank").over(around))
+    met = met.where((F.col("_low") < F.col("_high")) | (F.col("need") < 2))
+    # Postings lie in cells as long as a stretch; a stretch that holds the place of a meeting lies in its cell and the next ones.
+    cell = F.floor(F.col("position") / stretch)
+    cells = durable(met.select("row", "tid", "block", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell")).distinct())
+    lists = _of_rows(index, cells).withColumn("cell", cell)
+    lists = cells.join(lists, ["row", "cell"]).join(small(words), ["tid", "block", "term"]).select("row", "tid", "item_id", "block", "position", "rank", "need")
+    onwards = W.partitionBy("row", "tid", "item_id", "block").orderBy("position").rangeBetween(0, stretch - 1)
+    found = lists.withColumn("words", F.size(F.collect_set("rank").over(onwards))).where(F.col("words") >= F.col("need"))
+    return found.select("row", "tid", "item_id", F.col("block").alias("at"), F.col("position").alias("start"), "words")
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, phrases, proximity): the rows of ``docs`` (row, doc_id, n_words), and what was found in them."""
+    places, terms = item_words(items)
+    index = positional_index(docs, terms)
+    counts = durable(index.where(F.col("term") != HEADER).groupBy("term").agg(F.count("*").alias("freq")))
+    rows = index.where(F.col("term") == HEADER).select("row", "doc_id", F.col("position").alias("n_words"))
+    return rows, phrases(index, places, counts, window), proximity(index, places, counts, window, near)
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near_items.
 
     A word is hit if it stands in an occurrence of a window; a document is contaminated if at least one word in twenty is.
     ``n_near_items`` counts the items with a proximity match and no exact one.
     """
-    rows, found = matches(docs, items, window, near)
-    exact = F.col("start").isNotNull()
-    spans = F.array_sort(F.collect_set(F.when(exact, F.struct("start", "stop"))))
-    grouped = found.groupBy("row").agg(spans.alias("spans"), F.collect_set(F.when(exact, F.col("item_id").cast("string"))).alias("ids"), F.collect_set(F.col("item_id").cast("string")).alias("near_ids"))
+    rows, exact, close = matches(docs, items, window, near)
+    found = exact.select("row", "item_id", F.struct("start", "stop").alias("span")).union(close.select("row", "item_id", F.lit(None).cast("struct<start:int,stop:int>")).distinct())
+    item = F.col("item_id").cast("string")
+    spans, ids = F.array_sort(F.collect_set("span")), F.collect_set(F.when(F.col("span").isNotNull(), item))
+    grouped = found.groupBy("row").agg(spans.alias("spans"), ids.alias("ids"), F.collect_set(item).alias("near_ids"))
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, x: F.struct(F.greatest(acc["to"], x["stop"]).alias("to"), (acc["n"] + F.greatest(x["stop"] - F.greatest(x["start"], acc["to"]), F.lit(0))).alias("n"))
     grouped = grouped.select("row", F.aggregate("spans", start, step)["n"].alias("n_hit"), F.array_sort("ids").alias("ids"), F.size(F.array_except("near_ids", "ids")).cast("long").alias("n_near_items"))
-    out = rows.join(grouped, "row", "left").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
+    out = rows.join(small(durable(grouped)), "row", "left").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near_items")
 
 

@@ -77,19 +77,20 @@ hits AS (
   ) d JOIN windows USING (x)
 ), words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY 1),
-counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM docs) GROUP BY 1),
-places AS (SELECT item_id, place, x, unnest(x) AS word, unnest(range(len(x))) AS o FROM windows),
-anchors AS (
-  SELECT item_id, place, any_value(x) AS x, arg_min(word, coalesce(n, 0) * 100 + o) AS word
-  FROM places LEFT JOIN counts USING (word) GROUP BY 1, 2, hash(x) HAVING min(coalesce(n, 0)) > 0
+texts AS (SELECT row_number() OVER () AS tid, item_id, w FROM (SELECT DISTINCT item_id, w FROM items WHERE len(w) > 0)),
+blocks AS (
+  SELECT tid, item_id, i, list_distinct(w[i:i + {WINDOW - 1}]) AS x
+  FROM (SELECT tid, item_id, w, unnest(list_distinct(list_append(range(1, greatest(len(w) - {WINDOW - 1}, 1), {WINDOW}), greatest(len(w) - {WINDOW - 1}, 1)))) AS i FROM texts)
 ),
-postings AS (
-  SELECT doc_id, word, w[greatest(p - {WINDOW - 1}, 1):p + {WINDOW - 1}] AS near
-  FROM (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs) WHERE word IN (SELECT word FROM anchors)
+wanted AS (SELECT tid, item_id, i, len(x) AS m, unnest(x) AS word FROM blocks),
+postings AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM docs),
+stretches AS (
+  SELECT doc_id, item_id, m, list(word) OVER (PARTITION BY doc_id, tid, i ORDER BY p RANGE BETWEEN CURRENT ROW AND {WINDOW + WINDOW // 4 - 1} FOLLOWING) AS held
+  FROM postings JOIN wanted USING (word)
 ),
 near AS (
-  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM postings JOIN anchors USING (word)
-  WHERE len(list_intersect(near, x)) / len(list_distinct(x)) >= {NEAR} AND (doc_id, item_id) NOT IN (SELECT (doc_id, item_id) FROM hits) GROUP BY 1
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM stretches
+  WHERE 100 * len(list_distinct(held)) >= {NEAR} * m AND (doc_id, item_id) NOT IN (SELECT (doc_id, item_id) FROM hits) GROUP BY 1
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items

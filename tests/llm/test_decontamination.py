@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from framewright.llm import decontamination as d
@@ -51,12 +52,59 @@ def test_overlaps_short_items_and_repeats(spark):
     assert rows(d.contamination(df, bench)) == brute(docs, items)
 
 
-def test_many_scans(spark, monkeypatch):
-    items = [(k, " ".join(f"a{k}b{j}" for j in range(15))) for k in range(12)]
-    docs = [(k, f"pre {items[k][1]} post") for k in range(12)]
-    monkeypatch.setattr(d, "ANCHORS_A_SCAN", 5)
+def brute_near(docs, items, window=13, near=80, stretch=16):
+    """{(doc, item)}: some stretch of the document holds enough of a block's distinct words. Looks at every stretch."""
+    blocks = {}
+    for i, text in items:
+        w = words(text)
+        for at in {*range(0, max(len(w) - window, 0), window), max(len(w) - window, 0)} if w and i is not None else ():
+            blocks.setdefault(i, []).append(set(w[at : at + window]))
+    out = set()
+    for d_id, text in docs:
+        w = words(text)
+        for k in range(len(w)):
+            held = set(w[k : k + stretch])
+            out |= {(d_id, i) for i, some in blocks.items() for x in some if 100 * len(held & x) >= near * len(x)}
+    return out
+
+
+def near_rows(df):
+    return {r.doc_id: r.n_near_items for r in df.collect()}
+
+
+def expected_near(docs, items):
+    close = brute_near(docs, items)
+    out = {}
+    for x in docs:
+        exact = {j for j, t in items if brute([x], [(j, t)])[0][3]}
+        out[x[0]] = len({j for i, j in close if i == x[0]} - exact)
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    """Every word of a block changed in turn, the rarest and words that the corpus lacks among them; swaps, gaps, tails."""
+    rng = random.Random(6)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate((1, 2, 5, 12, 13, 14, 20, 26, 31))]
+    items += [(20, " ".join(f"rare{k}" for k in range(13))), (21, "absent one " + " ".join(vocabulary[:11]))]
+    docs, at = [], 0
+    for _, text in items:
+        w = text.split()
+        for changed in range(0, len(w), 2):
+            for more in (0, 1, 2, 3):
+                v = list(w)
+                for place in [changed, *rng.sample(range(len(v)), min(more, len(v)))]:
+                    v[place] = "other"
+                if more == 1:
+                    v[1:1] = ["gap"]
+                if more == 2:
+                    rng.shuffle(v)
+                docs.append((at, " ".join(rng.choices(vocabulary, k=3) + v + rng.choices(vocabulary, k=2))))
+                at += 1
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert rows(d.contamination(df, bench)) == brute(docs, items)
+    found = d.contamination(df, bench)
+    assert near_rows(found) == expected_near(docs, items)
+    assert rows(found) == brute(docs, items)
 
 
 def test_proximity(spark):
@@ -66,6 +114,14 @@ def test_proximity(spark):
     assert sorted((r.doc_id, r.n_items, r.n_near_items) for r in got.collect()) == [(1, 0, 1), (2, 1, 0)]
 
 
+def test_index_has_every_posting(spark):
+    docs = [(1, "A b, c a"), (2, None), (2, "c C x"), (3, "")]
+    places, terms = d.item_words(spark.createDataFrame([(1, "a c z")], "item_id long, text string"))
+    index = d.positional_index(spark.createDataFrame(docs, "doc_id long, text string"), terms).join(terms, "term", "left")
+    got = sorted((r.doc_id, r.word or "", r.position) for r in index.collect())
+    assert got == [(1, "", 4), (1, "a", 0), (1, "a", 3), (1, "c", 2), (2, "", 0), (2, "", 3), (2, "c", 0), (2, "c", 1), (3, "", 0)]
+
+
 def test_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, "gamma delta")], "item_id long, text string")
     got = {r.doc_id: r.n_hit for r in d.contamination(edge, items).collect()}
