@@ -27,15 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import durable, remainder
+from ._common import durable, remainder, small
 from ._text import shingles, word_hashes
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-MAX_FIT_ROWS, MAX_TERMS, MAX_LEXICON = 20_000, 50_000, 512
+MAX_FIT_ROWS = 20_000
+#: Matcher states, words without a match and terms that a task remembers; beyond, it forgets them and goes on.
+REMEMBERED = 200_000
 STEM_LETTERS = range(4, 9)
 WORD = re.compile(r"[^\W_]+")
 #: Letters that digits stand for in disguised spellings.
@@ -72,6 +74,10 @@ class Matcher:
                 most[node] = max(most[node], self.edits[k])
             self.ends[node].append(k)
         self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the table of states anew."""
         start = self._closed({(0, 0, "")})
         self.numbers = {start: 0}
         self.states = [start]
@@ -132,6 +138,8 @@ class Matcher:
 
     def hits(self, word: str) -> dict[int, int]:
         """{entry: class} of the entries that the word matches."""
+        if len(self.states) > REMEMBERED:
+            self._forget()
         at, found = 0, None
         for c in word:
             to = self.next[at].get(c)
@@ -162,10 +170,8 @@ class Matcher:
 
 def quotedness(text: str, start: int, stop: int) -> float:
     """How far the context of a hit speaks for quotation: 0 (none) to 1."""
-    line = text.rfind("\n", 0, start) + 1
-    end = text.find("\n", stop)
-    end = len(text) if end < 0 else end
-    before, after = text[max(line, start - 200) : start], text[stop : min(end, stop + 200)]
+    before, after = text[max(0, start - 200) : start], text[stop : stop + 200]
+    before, after = before[before.rfind("\n") + 1 :], after.partition("\n")[0]
     if len(QUOTES.findall(before)) % 2 == 0 or not QUOTES.search(after):
         return 0.0
     near = {*WORD.findall(before.lower())[-CONTEXT_WORDS:], *WORD.findall(after.lower())[:CONTEXT_WORDS]}
@@ -182,7 +188,7 @@ def document_hits(text: str, matcher: Matcher, dead: set[str]) -> dict[tuple[int
             found = {k: EDITED for k in matcher.hits(w.translate(DISGUISE))}
         if found:
             alive[w] = found
-        elif len(dead) < 200_000:
+        elif len(dead) < REMEMBERED:
             dead.add(w)
     if not alive:
         return {}
@@ -225,14 +231,14 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     n = labels.count()
     part = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_003)) < 1_000_003 * most / max(n, 1)
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chosen = texts.join(F.broadcast(labels.where(part)), "doc_id").select("text", "toxic")
+    chosen = texts.join(small(labels.where(part)), "doc_id").select("text", "toxic")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [shingles(word_hashes(np.frombuffer(t.encode(), dtype=np.uint8)), 3) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([int(x[0].view(np.int64)) if len(x) else 0 for x in s], pa.int64()), batch.column("toxic"), batch.column("text")], names=["sign", "toxic", "text"])
 
-    return chosen.mapInArrow(signed, "sign long, toxic int, text string").dropDuplicates(["sign", "toxic"]).select("text", "toxic")
+    return chosen.mapInArrow(signed, "sign long, toxic int, text string").groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _terms(text: str) -> set[str]:
@@ -251,46 +257,66 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
     if not toxic or not clean:
         return Model([], {}, base)
 
-    def counted(known: frozenset | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count: Counter = Counter()
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    terms = _terms(text)
-                    count.update(terms if known is None else terms & known)
-            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["term", "n"])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: tuple[Counter, Counter] = Counter(), Counter()
 
-        return run
+        def rows() -> pa.RecordBatch:
+            terms = list(count[1].keys() | count[0].keys())
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([count[k][t] for t in terms], pa.int64()) for k in (1, 0))], names=["term", "a", "b"])
+
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                count[label].update(_terms(text))
+                if len(count[0]) + len(count[1]) > REMEMBERED:
+                    yield rows()
+                    for c in count:
+                        c.clear()
+        yield rows()
 
-    total = lambda of_class, known: sample.where(F.col("toxic") == of_class).mapInArrow(counted(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     least = max(3, math.ceil(3 / -math.log10(base)))
-    often = {r["term"]: r["n"] for r in total(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()}
-    other = {r["term"]: r["n"] for r in total(0, frozenset(often)).collect()}
-    entries = _lexicon(often, other, toxic, clean)
+    often = durable(sample.mapInArrow(counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least))
+    passed = often.where(_significant(toxic, clean, often.count())).select("term", "a", "b").collect()
+    entries = _lexicon([(r["term"], r["a"], r["b"]) for r in passed], toxic / (toxic + clean))
     weights, rest = _weights(sample, entries, base)
     return Model(entries, weights, rest)
 
 
-def _lexicon(often: dict[str, int], other: dict[str, int], toxic: int, clean: int) -> list[tuple[str, int]]:
-    share, ranked = toxic / (toxic + clean), []
-    for term, a in often.items():
-        b = other.get(term, 0)
-        if a / (a + b) < max(0.6, 2 * share):
-            continue
-        g = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0)
-        if g / math.log(10) >= math.log10(len(often)) + 2:
-            ranked.append((g, "wpr".index(term[0]), term[2:]))
-    # The strongest first, of equal ones words before stems and long before short. What a chosen stem covers adds nothing;
-    # a stem of a chosen entry is taken only if it is clearly stronger.
+def _evidence(a: int, b: int, share: float) -> float:
+    """The G statistic of a term in ``a`` toxic and ``b`` clean texts, against the toxic share."""
+    return a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0)
+
+
+def _significant(toxic: int, clean: int, tried: int) -> Column:
+    """Whether a term in ``a`` toxic and ``b`` clean texts tells toxic ones, of so many terms that were tried."""
+    share, a, b = toxic / (toxic + clean), F.col("a"), F.col("b")
+    g = a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
+    return (a / (a + b) >= max(0.6, 2 * share)) & (g / math.log(10) >= math.log10(max(tried, 1)) + 2)
+
+
+def _lexicon(passed: list[tuple[str, int, int]], share: float) -> list[tuple[str, int]]:
+    """Entries from the terms that passed; their number is bounded by the sample's words, not by a cap.
+
+    The strongest come first, of equal ones words before stems and long before short. What a chosen stem covers adds nothing;
+    a stem of a chosen entry is taken only if it is clearly stronger.
+    """
+    ranked = sorted(((_evidence(a, b, share), "wpr".index(term[0]), term[2:]) for term, a, b in passed), key=lambda x: (-x[0], x[1], -len(x[2]), x[2]))
+    #: For each beginning of a term the strongest evidence of a longer one.
+    longer: dict[str, float] = {}
+    for g, _, text in ranked:
+        for k in range(1, len(text)):
+            longer[text[:k]] = max(longer.get(text[:k], 0.0), g)
     kept: list[tuple[str, int]] = []
-    for g, words, text in sorted(ranked, key=lambda x: (-x[0], x[1], -len(x[2]), x[2])):
-        if any(text.startswith(t) and n for t, n in kept) or any(t.startswith(text) for t, _ in kept):
+    stems: set[str] = set()
+    begun: set[str] = set()
+    for g, words, text in ranked:
+        if text in begun or any(text[:k] in stems for k in range(1, len(text) + 1)):
             continue
-        if words and any(t != text and t.startswith(text) and other_g >= 0.97 * g for other_g, _, t in ranked):
+        if words and longer.get(text, -1.0) >= 0.97 * g:
             continue
         kept.append((text, words))
-        if len(kept) == MAX_LEXICON:
-            break
+        begun.update(text[:k] for k in range(1, len(text) + 1))
+        if words:
+            stems.add(text)
     return kept
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -55,6 +56,63 @@ def test_quotation_counts_less():
     assert score("") == score("nice") == pytest.approx(0.01)
 
 
+def plain_score(text, entries, weights, rest):
+    """A text's score by edit distances to every entry, without automata (no quotation marks in the text)."""
+    seen = [{} for _ in entries]
+    for word in set(t.WORD.findall(text.lower())):
+        for k, (entry, stem) in enumerate(entries):
+            most = 0 if len(entry) < 5 else 1 if len(entry) < 10 else 2
+            least = min((distance(word[:j], entry) for j in range(len(word) + 1)), default=9) if stem else distance(word, entry)
+            kind = t.EXACT if least == 0 else t.ENDING if not stem and len(entry) >= 5 and word.startswith(entry) else t.EDITED if least <= most else None
+            if kind is not None:
+                seen[k].setdefault(kind, set()).add(word)
+    clean = 1 - rest
+    for k, by_kind in enumerate(seen):
+        if t.EXACT in by_kind and len(by_kind[t.EXACT]) < entries[k][1]:
+            by_kind[t.ENDING] = by_kind.pop(t.EXACT)
+        clean *= 1 - max((weights.get((k, kind), 0.0) for kind in by_kind), default=0.0)
+    return 1 - clean
+
+
+def test_query_scores_equal_plain_edit_distances(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    model = t.fit(docs, labels)
+    letters = {r.doc_id: r.text for r in docs.where("length(text) < 1500").collect() if r.text and not t.QUOTES.search(r.text) and all(w.isalpha() or w.isdigit() for w in t.WORD.findall(r.text))}
+    got = {r.doc_id: r.score for r in t.toxicity_scores(docs, labels).collect() if r.doc_id in letters}
+    some = sorted(letters)[:60]
+    assert len(some) > 20 and model.entries
+    for i in some:
+        assert got[i] == pytest.approx(plain_score(letters[i], model.entries, model.weights, model.rest)), i
+
+
+def test_every_entry_that_passes_is_kept(spark, monkeypatch):
+    """More entries than any former cap, and the same model when a task forgets what it remembers."""
+    abuse = ["".join(w) for w in itertools.islice(itertools.product("bcdfghjk", "aeiou", "lmnprstvwxz", "qx"), 600)]
+    rng = random.Random(1)
+    texts = [(k, " ".join(rng.sample(abuse, len(abuse))) + f" t{k}", 1) for k in range(0, 400, 4)] + [(k, f"nice{k} words{k} here{k}", 0) for k in range(1, 400) if k % 4]
+    docs = spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    model = t.fit(docs, labels)
+    assert sorted(w for w, n in model.entries if not n) == sorted(abuse)
+    whole = sorted(t.toxicity_scores(docs, labels).collect())
+    monkeypatch.setattr(t, "REMEMBERED", 5)
+    again = t.fit(docs.repartition(5), labels)
+    assert (again.entries, again.weights, again.rest) == (model.entries, model.weights, model.rest)
+    matcher = t.Matcher(model.entries)
+    assert [matcher.hits(w) for w in abuse] == [{k: t.EXACT for k, (e, _) in enumerate(model.entries) if e == w} | {k: v for k, v in matcher.hits(w).items() if model.entries[k][0] != w} for w in abuse]
+    assert sorted(t.toxicity_scores(docs.repartition(3), labels).collect()) == whole
+
+
+def test_quotedness_looks_at_one_line():
+    long = "x" * 300 + ' "'
+    for text, word in ((f'{long}bad" said', "bad"), ('a "\nbad" said', "bad"), ('wrote "bad\n" said', "bad"), ('he wrote "bad" ok', "bad")):
+        at = text.index(word)
+        line = text.rfind("\n", 0, at) + 1
+        end = text.find("\n", at) if "\n" in text[at:] else len(text)
+        cut = text[line:end]
+        assert t.quotedness(text, at, at + 3) == t.quotedness(cut, at - line, at - line + 3)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     got = t.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
