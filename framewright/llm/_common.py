@@ -65,14 +65,15 @@ def remainder(id_column: Column, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
-def slots(df: DataFrame, group: str, order: list[Column], into: str, buckets: int = 1024) -> DataFrame:
+def slots(df: DataFrame, group: str, order: list[Column], into: str, buckets: int | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps, with no task that must see a whole group.
 
-    Rows are dealt into ``buckets`` by a hash of the order columns; a bucket starts after the rows of the buckets before
-    it. Only the counts, one row for each group and bucket, meet in one place.
+    Rows are dealt into ``buckets`` by a hash of the order columns (1,024, or as many as the session has shuffle partitions); a
+    bucket starts after the rows of the buckets before it. Only the counts, one row for each group and bucket, meet in one place.
     """
     from pyspark.sql import Window as W
 
+    buckets = buckets or max(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -3,9 +3,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from fractions import Fraction
-from math import ceil, floor
+from math import ceil, floor, log
 
 import pytest
+import xxhash
 
 from framewright.llm import mixing, sharding
 from framewright.llm.sharding import Leaf
@@ -25,19 +26,77 @@ def test_shards_contract(spark, small_dir):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_growth_and_weights_move_only_where_they_change(spark):
+def placed(keys, leaves, into="", added=()):
     from pyspark.sql import functions as F
 
-    keys = spark.range(20_000)
-    before = [Leaf(0, 0, 0, 1.0), Leaf(0, 0, 1, 2.0), Leaf(0, 1, 2, 1.0), Leaf(1, 2, 3, 4.0)]
-    after = [*before[:1], Leaf(0, 0, 1, 4.0), *before[2:]]
-    rows = keys.select(sharding.shard_keys(F.col("id"), before)["shard"].alias("a"), sharding.shard_keys(F.col("id"), after)["shard"].alias("b")).collect()
-    share = Counter(r.a for r in rows)
-    assert [share[k] / 20_000 for k in range(4)] == pytest.approx([1 / 8, 2 / 8, 1 / 8, 4 / 8], abs=0.02)
-    assert all(r.b in (r.a, 1) for r in rows)
-    for n in (3, 16, 17):
-        both = keys.select(sharding.shard_keys(F.col("id"), sharding.tree(n))["shard"].alias("a"), sharding.shard_keys(F.col("id"), sharding.tree(n + 1))["shard"].alias("b")).where("b <> a").groupBy("b").count().collect()
-        assert [r.b for r in both] == [n] and both[0]["count"] == pytest.approx(20_000 / (n + 1), rel=0.15)
+    return sharding.with_descent(keys, F.col("id"), leaves, (f"{into}region", f"{into}rack", f"{into}shard"), tuple(added))
+
+
+def test_a_changed_weight_moves_rows_only_below_it(spark):
+    before = [Leaf(0, 0, 0, 1.0), Leaf(0, 0, 1, 2.0), Leaf(0, 1, 2, 1.0), Leaf(1, 2, 3, 4.0), Leaf(2, 3, 4, 1.0), Leaf(2, 4, 5, 1.0)]
+    for weight in (4.0, 1.0):
+        after = [*before[:1], Leaf(0, 0, 1, weight), *before[2:]]
+        rows = placed(placed(spark.range(20_000), before), after, "b_").collect()
+        for leaves, column in ((before, "shard"), (after, "b_shard")):
+            share, total = Counter(r[column] for r in rows), sum(x.weight for x in leaves)
+            assert [share[x.shard] / 20_000 for x in leaves] == pytest.approx([x.weight / total for x in leaves], abs=0.02)
+        moved = [r for r in rows if r.shard != r.b_shard]
+        assert moved
+        for r in moved:
+            into, out = (r.b_region, r.region) if weight > 2 else (r.region, r.b_region)
+            assert into == 0
+            if out == 0:
+                into, out = ((r.b_rack, r.rack), (r.b_shard, r.shard)) if weight > 2 else ((r.rack, r.b_rack), (r.shard, r.b_shard))
+                assert into[0] == 0 and (into[1] != 0 or out[0] == 1)
+
+
+@pytest.mark.parametrize("count", [1, 3, 13, 16, 17])
+def test_a_new_branch_takes_rows_only_into_itself(spark, count):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
+    rows = sharding.shards(docs, count).collect()
+    moved = [r for r in rows if r.grown_shard != r.shard]
+    assert {r.grown_shard for r in moved} == {count} and len(moved) == pytest.approx(20_000 / (count + 1), rel=0.15)
+    sizes = Counter(r.shard for r in rows)
+    assert len(sizes) == count and all(n == pytest.approx(20_000 / count, rel=0.15) for n in sizes.values())
+
+
+def plain_place(key, leaves, added=()):
+    """A key's path by loops, with the hash of a public library."""
+    key = "\x00null" if key is None else str(key)
+
+    def least(level, names):
+        out = []
+        for name, weight in names.items():
+            h = 42
+            for part in (key.encode(), level.encode(), name.to_bytes(4, "little")):
+                h = xxhash.xxh64(part, seed=h).intdigest()
+            out.append((-log(((h >> 11) + 0.5) / 2**53) / weight, name))
+        return min(out)
+
+    def children(level, of):
+        names = {}
+        for x in of:
+            names[getattr(x, level)] = names.get(getattr(x, level), 0) + x.weight
+        return least(level, names)
+
+    top, region = children("region", leaves)
+    for k, x in enumerate(added):
+        if least("branch", {k: x.weight})[0] < top:
+            return x.shard
+    leaves = [x for x in leaves if x.region == region]
+    _, rack = children("rack", leaves)
+    return children("shard", [x for x in leaves if x.rack == rack])[1]
+
+
+def test_placement_equals_plain_descent(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    new = Leaf(9, 9, 16)
+    for r in sharding.shards(docs).collect():
+        assert (r.shard, r.grown_shard) == (plain_place(r.doc_id, sharding.tree(16)), plain_place(r.doc_id, sharding.tree(16), [new]))
+    uneven = [Leaf(0, 0, 0, 0.5), Leaf(0, 1, 1, 2.0), Leaf(1, 2, 2, 1.5), Leaf(1, 2, 3, 0.0), Leaf(1, 2, 4, 3.0)]
+    alive = [x for x in uneven if x.weight]
+    for r in placed(spark.createDataFrame([(None,), *((k,) for k in range(500))], "id long"), uneven).collect():
+        assert r.shard == plain_place(r.id, alive)
 
 
 def test_sharding_edges(edge, empty):
@@ -47,7 +106,7 @@ def test_sharding_edges(edge, empty):
     assert sharding.shards(empty).collect() == []
     assert sharding.with_shard(edge).columns == edge.columns
     with pytest.raises(ValueError):
-        sharding.tree(0) and None or sharding.descend(None, [])
+        sharding.with_shard(edge, 0)
 
 
 @pytest.mark.parametrize("parts", [{"a": 1}, {"a": 3, "b": 5, "c": 2}, {"a": 900, "b": 99, "c": 1}, {k: 1 for k in "abcdefg"}])
