@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from .decontamination import NEAR, WINDOW
 from .license_scan import COPYRIGHT_LINES, NAMES_LICENCE, SPELLINGS
-from .license_texts import NOTICES, TEXTS
+from .license_texts import DIGESTS, known_notices, known_texts
 from .ngram_join import PERCENT, SHINGLE_WORDS
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,14 +47,16 @@ def _canonical(text: str, lines: bool) -> str:
     return f"CASE WHEN regexp_matches({out}, 'licen[cs]e|copyright|warrant') THEN {spelled} ELSE {out} END"
 
 
-def _values(known: dict[str, list[str]]) -> str:
+def _values(known: dict[str, Sequence[str]]) -> str:
     return "VALUES " + ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, texts in known.items() for t in texts)
 
 
 def _op8() -> str:
     return f"""
-WITH whole AS (SELECT sha256({_canonical('t', True)}) AS digest, min(k) AS license_id FROM ({_values({k: [v] for k, v in TEXTS.items()})}) AS v(k, t) GROUP BY 1),
-notice AS (SELECT sha256({_canonical('t', True)}) AS line_digest, min(k) AS name FROM ({_values(NOTICES)}) AS v(k, t) GROUP BY 1),
+WITH whole AS (SELECT digest, min(k) AS license_id FROM (
+  SELECT sha256({_canonical('t', True)}) AS digest, k FROM ({_values(known_texts())}) AS v(k, t)
+  UNION ALL SELECT digest, k FROM ({_values(DIGESTS)}) AS v(k, digest)) GROUP BY 1),
+notice AS (SELECT sha256({_canonical('t', True)}) AS line_digest, min(k) AS name FROM ({_values(known_notices())}) AS v(k, t) GROUP BY 1),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 digests AS (SELECT doc_id, sha256({_canonical('text', True)}) AS digest FROM docs),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs WHERE regexp_matches(text, '{NAMES_LICENCE}')),
