@@ -9,7 +9,8 @@ shorter), up to ``laced`` of them in a block, ``blocks`` blocks in a cluster, a
 use fixed-size lacing, others EBML or Xiph lacing by turns. Nothing in a file depends on anything but the payload.
 
 Defined results: a null text is an empty one; a payload is padded by bytes 0 to a positive multiple of 64; equal texts give
-equal rows; other columns are ignored; a damaged file raises ``ValueError`` from the parser.
+equal rows; other columns are ignored; a damaged file raises ``ValueError`` from the parser, and is one row with an ``error``
+in a packet table.
 """
 
 from __future__ import annotations
@@ -139,7 +140,14 @@ _TRACK_FIELDS = {TRACK_NUMBER: "number", TRACK_TYPE: "type", CODEC_ID: "codec",
 
 
 def parse(data: bytes) -> Media:
-    """Read a whole file into tables."""
+    """Read a whole file into tables; ``ValueError`` if it is damaged."""
+    try:
+        return _parse(data)
+    except (IndexError, struct.error, OverflowError) as e:
+        raise ValueError(f"damaged: {e}") from e
+
+
+def _parse(data: bytes) -> Media:
     media, base = Media(), 0
     cue: list[int] = [0, 0, 0]
     now, keyframe, held = 0, True, 0
@@ -284,22 +292,28 @@ def media_columns(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, T.StructType([texts.schema["doc_id"], *(T.StructField(n, t) for n, t in _STORED)]))
 
 
-_PACKETS = "doc_id {}, track int, timestamp long, start long, stop long, keyframe boolean, cluster int, cluster_position long"
+_PACKETS = "doc_id {}, track int, timestamp long, start long, stop long, keyframe boolean, cluster int, cluster_position long, error string"
 
 
 def packet_table(files: DataFrame, id_col: str = "doc_id", data_col: str = "media") -> DataFrame:
-    """Rows (doc_id, track, timestamp, start, stop, keyframe, cluster, cluster_position) of files held in a binary column."""
+    """Rows (doc_id, track, timestamp, start, stop, keyframe, cluster, cluster_position, error) of files held in a binary column:
+    one for each packet, and for each damaged file one with an error and nothing else."""
+    names = ["doc_id", "track", "timestamp", "start", "stop", "keyframe", "cluster", "cluster_position", "error"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
     files = files.select(F.col(id_col).alias("doc_id"), F.col(data_col).alias("media")).where("media is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data in zip(batch.column("doc_id"), batch.column("media"), strict=True):
-                media = parse(data.as_py())
-                if media.packets:
-                    track, time, start, stop, key, cluster = zip(*media.packets, strict=True)
-                    place = [media.clusters[c][0] for c in cluster]
-                    columns = [pa.array(c, k) for c, k in ((track, pa.int32()), (time, pa.int64()), (start, pa.int64()), (stop, pa.int64()), (key, pa.bool_()), (cluster, pa.int32()), (place, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(track), batch.schema.field("doc_id").type), *columns], names=["doc_id", "track", "timestamp", "start", "stop", "keyframe", "cluster", "cluster_position"])
+                try:
+                    media = parse(data.as_py())
+                    packets = [(*p, media.clusters[p[5]][0] if p[5] >= 0 else None, None) for p in media.packets]
+                except ValueError as e:
+                    packets = [(None,) * 7 + (str(e),)]
+                if packets:
+                    *columns, errors = zip(*packets, strict=True)
+                    ids = pa.array([row.as_py()] * len(packets), batch.schema.field("doc_id").type)
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(errors, pa.string())], names=names)
 
     return files.mapInArrow(run, _PACKETS.format(files.schema["doc_id"].dataType.simpleString()))
 

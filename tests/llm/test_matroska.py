@@ -56,6 +56,26 @@ def test_damaged_files_are_told():
             m.parse(data)
 
 
+def test_mutated_files_parse_or_are_told(spark):
+    rng = random.Random(1)
+    stored = m.build(rng.randbytes(9_000), frame=300, laced=3, blocks=2)
+    files = []
+    for _ in range(3_000):
+        data = bytearray(stored)
+        for _ in range(rng.randint(1, 3)):
+            data[rng.randrange(len(data) if rng.random() < 0.5 else 200)] = rng.randrange(256)
+        files.append(bytes(data[: rng.randint(1, len(data))] if rng.random() < 0.3 else data))
+    damaged = set()
+    for k, data in enumerate(files):
+        try:
+            m.parse(data)
+        except ValueError:
+            damaged.add(k)
+    assert 100 < len(damaged) < 3_000
+    rows = m.packet_table(spark.createDataFrame(list(enumerate(files)), "doc_id int, media binary")).where("error is not null").collect()
+    assert {r.doc_id for r in rows} == damaged and len(rows) == len(damaged) and all(r.start is None for r in rows)
+
+
 def test_columns_and_packets(spark, edge, empty):
     texts = {r.doc_id: (r.text or "").encode() for r in edge.collect()}
     for r in m.media_columns(edge).collect():
