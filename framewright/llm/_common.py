@@ -23,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Where that is unset (tests, one machine), a temporary folder is set."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset on one machine (tests), a temporary folder is set; on a
+    cluster, whose executors could not see it, that is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewright-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="framewright-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -43,6 +47,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the table that ``df`` reads, one that ``written`` made and nothing reads any more."""
+    jvm, tables = df.sparkSession.sparkContext._jvm, f"{shared_folder(df.sparkSession)}/tables/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(tables).toUri().getPath()):
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` (counted unless ``rows`` is given) is within ``bound``; else leave the join to a shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= bound else df
@@ -65,20 +78,21 @@ def remainder(id_column: Column, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
-def slots(df: DataFrame, group: str, order: list[Column], into: str, buckets: int | None = None) -> DataFrame:
+def slots(df: DataFrame, group: str, order: list[Column], into: str, buckets: int | None = None, bucket: Column | None = None, ties: tuple[Column, ...] = ()) -> DataFrame:
     """Number the rows of each group from 0 without gaps, with no task that must see a whole group.
 
     Rows are dealt into ``buckets`` by a hash of the order columns (1,024, or as many as the session has shuffle partitions); a
     bucket starts after the rows of the buckets before it. Only the counts, one row for each group and bucket, meet in one place.
+    With a ``bucket`` that rises with the order columns, the numbers follow that order. ``ties`` order equal rows in a bucket.
     """
     from pyspark.sql import Window as W
 
     buckets = buckets or max(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_bucket", (F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else bucket).cast("int"))
     counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order))
+    rank = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order, *ties))
     numbered = dealt.withColumn("_rank", rank)
     joined = numbered.join(small(starts), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")), "left")
     return joined.withColumn(into, F.col("_start") + F.col("_rank") - 1).drop("_bucket", "_rank", "_g", "_b", "_start")
@@ -109,7 +123,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
+def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root being the smallest node that can be reached.
 
     First each task contracts up to ``edges_a_task`` edges to stars around least nodes. If one task had all, that is the
@@ -122,7 +136,8 @@ def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = EDGES_A_T
     edges = durable(edges.coalesce(tasks).mapInArrow(_contracted, "a long, b long").distinct() if tasks > 1 else edges.coalesce(1).mapInArrow(_contracted, "a long, b long"))
     digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = digest(edges) if tasks > 1 else None
-    for _ in range(rounds if tasks > 1 else 0):
+    stable = tasks == 1
+    while not stable:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -132,9 +147,4 @@ def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = EDGES_A_T
         after = durable(linked.union(least.select("a", F.col("m").alias("b"))).distinct())
         now = digest(after)
         edges, stable, before = after, now == before, now
-        if stable:
-            break
-    else:
-        if tasks > 1:
-            raise RuntimeError(f"components: not stable after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

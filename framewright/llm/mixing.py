@@ -12,7 +12,7 @@ blocks (not the rows), in a heap of the sources. No row is dropped or repeated.
 hash of their ids; the numbering sees no source as a whole in any task.
 
 Defined results: a null source is a source; weights of unknown sources are ignored and sources without a weight get the least
-one; repeated rows keep places of their own; an empty table gives no rows; other columns are kept; any number of sources is
+one; repeated rows keep places of their own, and rows of one id stand in the order of a hash of all their columns; an empty table gives no rows; other columns are kept; any number of sources is
 scheduled unless ``MAX_SOURCES`` is set, beyond which there is an error.
 """
 
@@ -129,13 +129,20 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     n = len(starts)
     columns = {"_s": pa.array(names, pa.string()).take(whole("source")), "_b": whole("block"), "_phase": whole("phase").cast(pa.int32()), "_release": whole("release"), "_deadline": whole("deadline"), "_slot": pa.array(range(n), pa.int64()), "_start": pa.array(memoryview(starts), pa.int64())}
     plans = spark.createDataFrame(pa.table(columns), "_s string, _b long, _phase int, _release long, _deadline long, _slot long, _start long")
-    numbered = slots(docs.withColumn("_source", F.col(source_col).cast("string")), "_source", [F.xxhash64(id_col), F.col(id_col)], "_n")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    numbered = slots(docs.withColumn("_source", F.col(source_col).cast("string")), "_source", [F.xxhash64(id_col), F.col(id_col)], "_n", ties=(F.xxhash64(*hashed),))
     numbered = numbered.withColumn("_block", F.expr(f"_n div {int(block_rows)}"))
     out = numbered.join(small(plans, n), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
     position = F.col("_start") + F.col("_n") % F.lit(block_rows)
     return out.withColumn("_position", position.cast("long")).drop("_source", "_s", "_b", "_n", "_start")
 
 
+def with_position(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """Rows (row, position): each row of ``docs`` as a struct, and its place in the schedule."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"))
+    return scheduled(packed, **options).select(F.col("_row").alias("row"), F.col("_position").alias("position"))
+
+
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """Rows (doc_id, source, block, phase, release, deadline, slot, position), one for each row of ``docs``."""
     found = scheduled(docs.select("doc_id", "source"), **options)
@@ -145,7 +152,6 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows and columns of ``docs``, written in the order of the schedule: parts by range of position, sorted inside."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"))
-    found = scheduled(packed, **options)
+    found = with_position(docs, source_col, id_col, **options)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select("_row.*")
+    return found.repartitionByRange(parts, "position").sortWithinPartitions("position").select("row.*")

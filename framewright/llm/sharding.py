@@ -85,18 +85,23 @@ def with_descent(df: DataFrame, key: Column, leaves: list[Leaf], into: tuple[str
     return df.drop("_key", "_top")
 
 
-def shards(docs: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards(docs: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", position_col: str | None = None) -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard, region, rack), one for each row of ``docs``.
 
-    ``slot`` numbers a shard's rows from 0 without gaps. ``grown_shard`` is the shard under one leaf more.
+    ``slot`` numbers a shard's rows from 0 without gaps; with a ``position_col`` (whole numbers from 0, spread evenly) in the
+    order of that. ``grown_shard`` is the shard under one leaf more.
     """
     text = F.col(text_col).cast("string")
-    found = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
+    found = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), *([F.col(position_col).alias("_position")] if position_col else []))
     leaves = tree(count)
     new = Leaf(1 + max(x.region for x in leaves), 1 + max(x.rack for x in leaves), count)
     placed = with_descent(found, F.col("doc_id"), leaves)
     placed = with_descent(placed, F.col("doc_id"), leaves, ("_region", "_rack", "grown_shard"), (new,)).drop("_region", "_rack").withColumn("law", F.lit("key"))
-    numbered = slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
+    if position_col:
+        rows, buckets = docs.agg(F.max(position_col)).first()[0] or 0, max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        numbered = slots(placed, "shard", [F.col("_position")], "slot", bucket=F.floor(F.col("_position") / F.lit(1 + rows // buckets)))
+    else:
+        numbered = slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "region", "rack")
 
 

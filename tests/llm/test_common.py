@@ -47,3 +47,23 @@ def test_written_tables_keep_their_columns(spark):
     df = spark.createDataFrame([(1, None, [2])], "a long, b string, c array<int>")
     back = _common.written(df)
     assert back.schema.simpleString() == df.schema.simpleString() and back.collect() == df.collect()
+
+
+def test_removed_tables_are_gone(spark, small_dir):
+    from pathlib import Path
+
+    df = _common.written(spark.range(10))
+    folders = {Path(f.removeprefix("file:")).parent for f in df.inputFiles()}
+    assert all(f.exists() for f in folders)
+    _common.removed(df)
+    assert not any(f.exists() for f in folders)
+    _common.removed(spark.read.parquet(f"{small_dir}/region.parquet"))
+    assert spark.read.parquet(f"{small_dir}/region.parquet").count() == 5
+
+
+def test_slots_in_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k % 3, k) for k in range(1_000)]
+    got = _common.slots(spark.createDataFrame(rows, "g long, v long"), "g", [F.col("v")], "slot", bucket=F.floor(F.col("v") / 77)).collect()
+    assert all(r.slot == r.v // 3 for r in got)

@@ -216,3 +216,22 @@ def test_any_number_of_sources(spark):
     assert all(r.release <= r.slot < r.deadline for r in got)
     slots = sorted({r.slot for r in got if r.source == "big"})
     assert all(abs((t + 1) / 5 - sum(x <= t for x in slots)) < 1 for t in range(0, 3_125, 25))
+
+
+def test_slots_follow_a_position(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    places = {r.row.doc_id: r.position for r in mixing.with_position(docs).collect()}
+    got = sharding.shards(mixing.with_position(docs).select("row.*", "position"), position_col="position").collect()
+    assert {r.doc_id: r.shard for r in got} == {r.doc_id: r.shard for r in sharding.shards(docs).collect()}
+    by_shard = {}
+    for r in sorted(got, key=lambda r: places[r.doc_id]):
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    assert all(s == list(range(len(s))) for s in by_shard.values())
+    none = mixing.with_position(docs.limit(0)).select("row.*", "position")
+    assert sharding.shards(none, position_col="position").collect() == []
+
+
+def test_rows_of_one_id_keep_one_order(spark):
+    rows = [(7, f"text {k}", "a") for k in range(40)]
+    orders = [[r.text for r in mixing.mixed(spark.createDataFrame(rows[::step], "doc_id long, text string, source string").repartition(n)).collect()] for step, n in ((1, 3), (-1, 5))]
+    assert orders[0] == orders[1]
