@@ -10,6 +10,9 @@ import pyarrow as pa
 #: Bytes that one pass over a text holds at once; a cut is made only at a separator.
 PIECE = 1 << 20
 
+#: Words of more bytes than this are hashed in two ways.
+LONG = 500
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Separators of words: the space and the bytes 09 to 0D.
@@ -51,7 +54,16 @@ def _piece(b: np.ndarray, space: np.ndarray) -> np.ndarray:
     power, inverse = _tables(len(b) + 1)
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
+    out = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
+    # Long words can be built that agree in any polynomial modulo 2^64; for these, sums with a random factor for each place count too.
+    for k in np.flatnonzero(end - start > LONG):
+        out[k] = mix(out[k : k + 1] + _by_place(b[start[k] : end[k]]))[0]
+    return out
+
+
+def _by_place(word: np.ndarray) -> np.ndarray:
+    at = np.arange(1, len(word) + 1, dtype=np.uint64)
+    return np.array([(mix(word.astype(np.uint64) * _STEP + at) * mix(at ^ np.uint64(0x2545F4914F6CDD1D))).sum(dtype=np.uint64)])
 
 
 def word_hashes(data: np.ndarray, space: np.ndarray = SPACE) -> np.ndarray:

@@ -19,7 +19,8 @@ exact: nothing is sampled or capped.
    comparison.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; a text of fewer words than a
-shingle is one shingle; repeated rows are copies; other columns are ignored; an empty table gives an empty result.
+shingle is one shingle; repeated rows are copies; other columns are ignored; an empty table gives an empty result. Ids may be
+whole numbers or text. A null id is no smallest id: a component or class of rows without ids has the id null.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import batches_of, components, durable, forest, small
+from ._common import batches_of, components, durable, forest, small, written
 from ._text import byte_rows, mix, shingles, word_hashes
 
 SHINGLE_WORDS, PERCENT, BLOCK_SHINGLES = 4, 85, 1_500_000
@@ -307,6 +308,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``component_id`` is the smallest id that links reach, ``class_id`` the smallest id with an equal set.
     """
+    whole = docs.schema[id_col].dataType in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType())
+    if not whole or not docs.where(F.col(id_col).isNull()).isEmpty():
+        return _by_row(docs, id_col, text_col, shingle_words, percent, block_shingles)
+    return _by_id(docs, id_col, text_col, shingle_words, percent, block_shingles)
+
+
+def _by_row(docs: DataFrame, id_col: str, text_col: str, *options) -> DataFrame:
+    """Components of rows whose ids are not whole numbers, or null: the rows are numbered and written first."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
+    found = durable(_by_id(rows, "_row", "_text", *options).join(rows.select("_row", "_id"), F.col("doc_id") == F.col("_row")).drop("doc_id"))
+    for c in ("component_id", "class_id"):
+        least = durable(found.groupBy(F.col(c).alias("_of")).agg(F.min("_id").alias("_least")))
+        found = found.join(small(least), F.col(c) == F.col("_of")).withColumn(c, F.col("_least")).drop("_of", "_least")
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+
+
+def _by_id(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, block_shingles: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
@@ -331,12 +349,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) with one document of each group: that of the smallest id."""
-    verdict = durable(ngram_components(docs, **options))
-    gone = verdict.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    twice = verdict.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    # Repeated rows share an id and a set: one of each stays.
-    return kept.join(small(twice), "doc_id", "left_anti").unionByName(kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` (doc_id, text and any others) with one document of each group: that of the smallest id, or of null
+    if none has an id. Texts without words stay."""
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint") and docs.where("doc_id is null").isEmpty():
+        verdict = durable(ngram_components(docs, **options))
+        gone = verdict.where("doc_id <> component_id").select("doc_id").distinct()
+        kept = docs.join(small(gone), "doc_id", "left_anti")
+        twice = verdict.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+        if twice.isEmpty():
+            return kept
+        # Repeated rows share an id and a set: one of each stays.
+        return kept.join(small(twice), "doc_id", "left_anti").unionByName(kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    packed = written(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.monotonically_increasing_id().alias("_key")))
+    verdict = _by_id(packed, "_key", "text", *({"shingle_words": SHINGLE_WORDS, "percent": PERCENT, "block_shingles": BLOCK_SHINGLES} | options).values())
+    named = durable(verdict.select(F.col("doc_id").alias("_key"), "n_shingles", "component_id").join(packed.select("_key", "doc_id"), "_key"))
+    first = named.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key"))
+    keys = durable(first.select("_key").union(named.where("n_shingles = 0").select("_key")))
+    return packed.join(small(keys), "_key", "left_semi").select("_row.*")

@@ -161,3 +161,66 @@ def test_one_word_appended_to_a_short_text(spark):
     docs = [(1, "a b c d e f g h i"), (2, "a b c d e f g h i j"), (3, "q b c d e f g h i j k")]
     got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs) == {1: (6, 1), 2: (7, 1), 3: (8, 3)}
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 85, 90, 95])
+def test_bounds_of_spoiled_parts_at_all_sizes_to_2000(percent):
+    sizes = np.arange(1, 2_001)
+    for at in range(0, 12):
+        low, high = 1 << at, (2 << at) - 1
+        worst = 0
+        for n in sizes[(sizes >= -(-percent * low // 100)) & (sizes <= high)].tolist():
+            b = np.arange(max(low, -(-percent * n // 100)), min(high, 100 * n // percent) + 1)
+            if len(b):
+                differ = n + b - 2 * -(-percent * (n + b) // (100 + percent))
+                worst = max(worst, int(differ.max()))
+                assert ngram_join.most_spoiled(n, int(b[-1]), percent) >= differ.max(), n
+        assert ngram_join.parts_of(at, percent) > worst, at
+
+
+def test_every_word_count_to_70(spark):
+    rng = random.Random(11)
+    docs, i = [], 0
+    for n in range(1, 71):
+        for kind in range(3):
+            base = [f"n{n}k{kind}w{j}" for j in range(n)]
+            docs.append((i, " ".join(base)))
+            for change in range(1, max(2, n // 5) + 1):
+                w = list(base)
+                if kind == 0:
+                    w += [f"more{n}.{j}" for j in range(change)]
+                elif kind == 1:
+                    w = w[: max(1, n - change)]
+                else:
+                    w[rng.randrange(n)] = f"other{n}.{change}"
+                docs.append((i + change, " ".join(w)))
+            i += 100
+    got = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    expected = {}
+    for start in range(0, i, 100):
+        expected |= brute([d for d in docs if start <= d[0] < start + 100])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+
+
+def test_null_and_text_ids(spark):
+    a, b = "one two three four five six", "p q r s t u v w x y z"
+    rows = [(None, a), (None, a), ("k2", b), ("k10", b), (None, b), ("z", None), (None, None), ("y", "lone words")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in got))) == sorted(map(str, [(None, 3, None, None)] * 2 + [("k2", 8, "k10", "k10"), ("k10", 8, "k10", "k10"), (None, 8, "k10", "k10"), ("z", 0, "z", "z"), (None, 0, None, None), ("y", 1, "y", "y")]))
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [(None, a), ("k10", b), ("z", None), (None, None), ("y", "lone words")]))
+    rows = [(None, a), (5, a + " seven eight nine ten"), (3, a), (None, a), (None, "")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got if r.n_shingles) == [("3", 3), ("5", 5), ("None", 3), ("None", 3)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert sorted(str(tuple(r)) for r in kept) == sorted(str(r) for r in (rows[1], rows[2], rows[4]))
+
+
+def test_words_built_to_collide_differ():
+    turns = ["a"]
+    for _ in range(11):
+        turns = [turns[0] + turns[0].translate(str.maketrans("ab", "ba"))]
+    word = turns[0]
+    other = word.translate(str.maketrans("ab", "ba"))
+    h = word_hashes(np.frombuffer(f"{word} {other} {word}".encode(), dtype=np.uint8))
+    assert h[0] != h[1] and h[0] == h[2]
