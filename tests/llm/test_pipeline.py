@@ -18,6 +18,16 @@ def test_stages_equal_their_operators(spark, small_dir):
     left = brute_contaminated(left, {r.item_id: r.text for r in table(spark, small_dir, "benchmark").collect()})
     got = pipeline.run(spark, small_dir).collect()
     assert sorted(r.doc_id for r in got) == sorted(left)
+    # The last two stages by plain versions: slots by the schedule of each source's blocks, shards by a plain descent.
+    from framewright.llm import mixing, sharding
+    from test_sharding_mixing import plain_place
+
+    kept = docs.where(docs.doc_id.isin(list(left)))
+    place = {r.doc_id: r.position for r in mixing.mixture(kept).collect()}
+    by_shard = {}
+    for i in sorted(left, key=place.get):
+        by_shard.setdefault(plain_place(i, sharding.tree(16)), []).append(i)
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == {i: (s, k) for s, own in by_shard.items() for k, i in enumerate(own)}
 
 
 def test_every_stage_but_the_last_returns_documents(spark, small_dir):
