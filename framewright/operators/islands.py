@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import neighbours, running
+from .scan import BLOCK_ROWS, neighbours, numbered, running
 
 
 def islands(df: DataFrame, order: str, boundary: Column, previous: dict[str, str], keys: tuple[str, ...] = (), into: str = "island") -> DataFrame:
@@ -135,20 +135,27 @@ def bridge_gaps(df: DataFrame, order: str, accepted: Column, value: str, max_gap
     return df.withColumn("bridged", bridged).withColumn(value, F.when(bridged, F.col("_before.v")).otherwise(F.col(value))).drop("_ok", "_before", "_after")
 
 
+def _bucket(df: DataFrame, order: str) -> Column:
+    """What cuts rows into parts as an order rises: blocks of numbers, hours of timestamps, months of dates."""
+    kind = df.schema[order].dataType.typeName()
+    return F.trunc(order, "month") if kind == "date" else F.date_trunc("hour", order) if kind.startswith("timestamp") else F.floor(F.col(order) / BLOCK_ROWS)
+
+
 def connected(df: DataFrame, start: str = "start", stop: str = "stop", keys: tuple[str, ...] = ()) -> DataFrame:
     """Number chains of intervals in which each starts where the one before stops."""
-    order = W.partitionBy(*keys).orderBy(start, stop)
-    flagged = df.withColumn("_new", (~F.lag(stop).over(order).eqNullSafe(F.col(start))).cast("long"))
-    return flagged.withColumn("chain", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    placed = numbered(df, [start, stop], _bucket(df, start), "_place", keys)
+    marked = neighbours(placed, "_place", {"_ps": stop}, keys)
+    flagged = marked.withColumn("_new", (~F.col("_ps").eqNullSafe(F.col(start))).cast("long"))
+    return running(flagged, "_place", {"chain": ("sum", F.col("_new"))}, keys).drop("_new", "_ps", "_place")
 
 
 def drop_overlapping(df: DataFrame, first: str, last: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Drop every interval (inclusive ends) that overlaps any other of its stream: compared with the greatest end before it
     and the least start after it, not pair by pair."""
-    up = W.partitionBy(*keys).orderBy(first, last)
-    before = F.max(last).over(up.rowsBetween(W.unboundedPreceding, -1))
-    after = F.lead(first).over(up)
-    return df.withColumn("_b", before).withColumn("_a", after).where((F.col("_b").isNull() | (F.col("_b") < F.col(first))) & (F.col("_a").isNull() | (F.col("_a") > F.col(last)))).drop("_b", "_a")
+    placed = numbered(df, [first, last], _bucket(df, first), "_place", keys)
+    furthest = running(placed, "_place", {"_m": ("max", F.col(last))}, keys)
+    near = neighbours(neighbours(furthest, "_place", {"_b": "_m"}, keys), "_place", {"_a": first}, keys, ahead=True)
+    return near.where((F.col("_b").isNull() | (F.col("_b") < F.col(first))) & (F.col("_a").isNull() | (F.col("_a") > F.col(last)))).drop("_b", "_a", "_m", "_place")
 
 
 def cadence(df: DataFrame, order: str, position: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -269,16 +269,16 @@ def ratchet(frames: list[tuple[int, float, bool]], period: float, window: float,
 
 
 def ratchet_sweep(df: DataFrame, grid: list[tuple[float, float]], period: float, window: float, hold: int) -> DataFrame:
-    """(setup, phase, late, margin): the ratchet for each point of a grid of (setup, phase), each a task of its own."""
-    spark = df.sparkSession
-    points = F.broadcast(spark.createDataFrame([(float(a), float(b)) for a, b in grid], "setup double, phase double"))
+    """(setup, phase, late, margin): the ratchet for each point of a grid of (setup, phase). The trace goes to one task once,
+    which runs it through for every point; the state is one number a point."""
+    points = [(float(a), float(b)) for a, b in grid]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        setup, phase = float(pdf["setup"].iloc[0]), float(pdf["phase"].iloc[0])
-        late, margin = ratchet(list(zip(pdf["frame"], pdf["work"], pdf["at_start"], strict=True)), period, window, hold, setup, phase)
-        return pd.DataFrame([(setup, phase, len(late), margin)], columns=["setup", "phase", "late", "margin"])
+        rows = list(zip(pdf["frame"], pdf["work"], pdf["at_start"], strict=True))
+        found = [(a, b, *ratchet(rows, period, window, hold, a, b)) for a, b in points]
+        return pd.DataFrame([(a, b, len(late), margin) for a, b, late, margin in found], columns=["setup", "phase", "late", "margin"])
 
-    return folded(df.select("frame", "work", "at_start").crossJoin(points), ["setup", "phase"], ["frame"], fold, "setup double, phase double, late long, margin double")
+    return folded(df.select(F.lit(0).alias("_all"), "frame", "work", "at_start"), ["_all"], ["frame"], fold, "setup double, phase double, late long, margin double")
 
 
 def queue_replay(arrivals: list[int], needs: list[int], capacity: int) -> list[tuple[int, int, int]]:

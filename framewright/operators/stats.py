@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
 from .align import as_of_frames, eight_statistics  # noqa: F401
 
 
@@ -59,7 +60,7 @@ def carried_usage(updates: DataFrame, segments: DataFrame, cell: str, frame: str
     starts = segments.select(F.col("start").alias("_at"))
     first = as_of_frames(alive.withColumnRenamed("_from", "_at"), starts, "_at", "_first").withColumnRenamed("_at", "_from")
     both = as_of_frames(first.withColumn("_at", F.col("_to") - 1), starts, "_at", "_last").drop("_at")
-    numbered = segments.withColumn("_n", F.row_number().over(W.orderBy("start")))
+    numbered = scan.numbered(segments, ["start"], F.floor(F.col("start") / scan.BLOCK_ROWS), "_n")
     place = lambda c: numbered.select(F.col("start").alias(c), F.col("_n").alias(f"{c}_n"))
     held = both.join(place("_first"), "_first").join(place("_last"), "_last").withColumn("_n", F.explode(F.sequence("_first_n", "_last_n")))
     span = F.least("_to", "stop") - F.greatest("_from", "start")

@@ -326,9 +326,9 @@ def correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float((a * b).sum()) / scale if scale else 0.0
 
 
-def most_changed(tiles_df: DataFrame, budget: int) -> DataFrame:
-    """(frame, cell, sent): of each frame's cells that differ from what is shown, the ``budget`` that differ most are sent (of
-    equal ones the greater cell); what is shown follows. One fold for the whole stream."""
+def most_changed(tiles_df: DataFrame, budget: int, stream: str | None = None) -> DataFrame:
+    """(stream, frame, cell, sent): of each frame's cells that differ from what is shown, the ``budget`` that differ most are sent (of
+    equal ones the greater cell); what is shown follows. One fold for each ``stream`` (a whole-number column); without one, the rows are one stream."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shown, out = None, []
@@ -343,4 +343,6 @@ def most_changed(tiles_df: DataFrame, budget: int) -> DataFrame:
             out.append(pd.DataFrame({"frame": f, "cell": part["cell"].to_numpy(), "sent": sent}))
         return pd.concat(out)
 
-    return tiles_df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf), "frame long, cell int, sent boolean")
+    of = F.lit(0) if stream is None else F.col(stream)
+    rows = tiles_df.select(of.cast("long").alias("stream"), "frame", "cell", "keys")
+    return rows.groupBy("stream").applyInPandas(lambda pdf: run(pdf).assign(stream=pdf["stream"].iloc[0])[["stream", "frame", "cell", "sent"]], "stream long, frame long, cell int, sent boolean")

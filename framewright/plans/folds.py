@@ -91,7 +91,7 @@ def huffman(spark, sf):
 
 
 def _updates(spark, sf) -> DataFrame:
-    return events(spark, sf).select((F.col("user_id") % 8).alias("stream"), F.floor(F.col("frame") / 40).alias("frame"), F.col("frame").alias("ord"), (F.col("user_id") % 24).alias("cell"), F.concat("state", F.lit("-"), (F.col("x") % 9).cast("string")).alias("key"))
+    return events(spark, sf).select(F.col("user_id").alias("stream"), F.floor(F.col("frame") / 40).alias("frame"), F.col("frame").alias("ord"), (F.col("event_id") % 24).alias("cell"), F.concat("state", F.lit("-"), (F.col("x") % 9).cast("string")).alias("key"))
 
 
 @query("o10_02_residency")

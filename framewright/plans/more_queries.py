@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,10 +74,11 @@ def level_histogram(spark, sf):
     return stats.histogram(read(spark, sf, "lineitem").select(F.explode(channels).alias("v")), F.col("v"), 256, dense=True)
 
 
-@query("o5_14_carried_classes", f"WITH {USER_EVENTS}, n AS (SELECT user_id, x % 65 AS dots, coalesce(lead(frame) OVER (PARTITION BY user_id ORDER BY frame), 400) - frame AS held FROM uev WHERE frame < 400) SELECT dots, CAST(sum(held) AS BIGINT) AS frames FROM n GROUP BY 1")
+@query("o5_14_carried_classes", f"WITH {USER_EVENTS}, n AS (SELECT user_id, x % 65 AS dots, coalesce(lead(frame) OVER (PARTITION BY user_id ORDER BY frame), (SELECT max(frame) + 1 FROM uev)) - frame AS held FROM uev) SELECT dots, CAST(sum(held) AS BIGINT) AS frames FROM n GROUP BY 1")
 def carried_classes(spark, sf):
-    df = user_events(spark, sf).where("frame < 400").withColumn("dots", F.col("x") % 65)
-    held = neighbours(df, "frame", {"to": "frame"}, ("user_id",), ahead=True).withColumn("held", F.coalesce("to", F.lit(400)) - F.col("frame"))
+    df = user_events(spark, sf).withColumn("dots", F.col("x") % 65)
+    end = df.agg((F.max("frame") + 1).alias("end"))
+    held = neighbours(df, "frame", {"to": "frame"}, ("user_id",), ahead=True).crossJoin(F.broadcast(end)).withColumn("held", F.coalesce("to", "end") - F.col("frame"))
     return held.groupBy("dots").agg(F.sum("held").alias("frames"))
 
 
@@ -150,7 +154,7 @@ def group_error(spark, sf):
     return read(spark, sf, "lineitem").join(F.broadcast(lut), F.col("l_partkey") % 512 == F.col("key")).groupBy("l_orderkey").agg(F.sum("error").alias("error"))
 
 
-@query("o9_26_sign_magnitude", f"WITH {EVENTS} SELECT frame, CASE WHEN v >= 0 THEN least(v, 127) ELSE 128 | least(-v, 126) END AS byte FROM (SELECT frame, ((x - 3000) * 5) >> 8 AS v FROM ev)")
+@query("o9_28_sign_magnitude", f"WITH {EVENTS} SELECT frame, CASE WHEN v >= 0 THEN least(v, 127) ELSE 128 | least(-v, 126) END AS byte FROM (SELECT frame, ((x - 3000) * 5) >> 8 AS v FROM ev)")
 def sign_magnitude(spark, sf):
     v = F.shiftright((F.col("x") - 3_000) * 5, 8)
     return events(spark, sf).select("frame", F.when(v >= 0, F.least(v, F.lit(127))).otherwise(F.least(-v, F.lit(126)).bitwiseOR(128)).alias("byte"))
@@ -211,14 +215,23 @@ def gap_sessions(spark, sf):
 
 @query("o13_05_per_frame_map", f"WITH {EVENTS} SELECT frame, md5(state || '-' || CAST(x AS VARCHAR)) AS identity FROM ev")
 def per_frame_map(spark, sf):
-    return events(spark, sf).select("frame", F.md5(F.concat("state", F.lit("-"), F.col("x").cast("string"))).alias("identity"))
+    """A Python function of each frame, over Arrow batches; rows carry their frame, so no order is needed."""
+
+    def run(batches):
+        for pdf in batches:
+            text = pdf["state"] + "-" + pdf["x"].astype(str)
+            yield pd.DataFrame({"frame": pdf["frame"], "identity": [hashlib.md5(t.encode()).hexdigest() for t in text]})
+
+    return events(spark, sf).select("frame", "state", "x").mapInPandas(run, "frame long, identity string")
 
 
-@query("o16_02_best_three", "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id, e.vec_id AS other, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS err FROM q JOIN embeddings e ON e.vec_id BETWEEN q.vec_id - 20 AND q.vec_id + 20 AND e.vec_id <> q.vec_id) SELECT vec_id, other, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY err, other) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY err, other) <= 3")
+@query("o16_02_best_three", "WITH q AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT q.vec_id, e.vec_id AS other, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS err FROM q JOIN embeddings e ON e.vec_id BETWEEN q.vec_id - 20 AND q.vec_id + 20 AND e.vec_id <> q.vec_id) SELECT vec_id, other, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY err, other) AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY err, other) <= 3")
 def best_three(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("v"), F.explode(F.sequence(F.col("vec_id") - 20, F.col("vec_id") + 20)).alias("other")).where("other <> vec_id")
-    both = q.join(e.select(F.col("vec_id").alias("other"), "embedding"), "other")
+    # Each vector goes to its block of ids and the blocks beside it, three copies instead of one for each neighbour.
+    block = F.floor(F.col("vec_id") / 64)
+    near = e.select(F.col("vec_id").alias("other"), "embedding", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    both = e.select("vec_id", F.col("embedding").alias("v"), block.alias("block")).join(near, "block").where("abs(vec_id - other) between 1 and 20")
     error = F.aggregate(F.zip_with("v", "embedding", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(error, "other")))
     return ranked.where("rank <= 3").select("vec_id", "other", "rank")
@@ -248,15 +261,15 @@ def neighbour_borders(spark, sf):
     return near.where((F.col("col") < 39) & (F.col("next") == F.col("cell") + 1)).agg(F.sum(F.abs(F.col("v") - F.col("w"))).cast("long").alias("seam"))
 
 
-@query("o16_16_two_paths", f"WITH {_LUT} SELECT l_orderkey, l_linenumber FROM lineitem WHERE false")
+@query("o16_16_two_paths", f"WITH {_LUT}, d AS (SELECT l_partkey % 512 AS key, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT key, min((key // 64 - r) * (key // 64 - r) + (key // 8 % 8 - g) * (key // 8 % 8 - g) + (key % 8 - b) * (key % 8 - b)) AS direct FROM d, {_PALETTE_SQL} GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS compared, CAST(coalesce(sum(n) FILTER (error <> direct), 0) AS BIGINT) AS differing, CAST(sum(n * error) AS BIGINT) AS total FROM d JOIN lut USING (key) JOIN b USING (key)")
 def two_paths(spark, sf):
-    """The table's path and the direct distances, both ways: no row may differ."""
+    """One row: how many lines were compared by the table's path and by direct distances, how many differ, and their error."""
     keyed = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 512).alias("key"))
     by_table = keyed.join(F.broadcast(tiles.nearest_lut(spark, {0: _PALETTE}).select("key", "error")), "key")
     channel = lambda k: F.shiftright(F.col("key").cast("int"), k).bitwiseAND(7)
     direct = F.least(*[(channel(6) - r) * (channel(6) - r) + (channel(3) - g) * (channel(3) - g) + (channel(0) - b) * (channel(0) - b) for r, g, b in _PALETTE.tolist()])
-    both = align.difference(by_table.select("l_orderkey", "l_linenumber", "error"), keyed.select("l_orderkey", "l_linenumber", direct.cast("long").alias("error")))
-    return both.select("l_orderkey", "l_linenumber")
+    both = by_table.withColumn("direct", direct.cast("long"))
+    return both.agg(F.count("*").alias("compared"), F.count_if(~F.col("error").eqNullSafe(F.col("direct"))).alias("differing"), F.sum("error").alias("total"))
 
 
 @query("o16_22_saved_bytes", f"WITH {EVENTS} SELECT CAST(sum(greatest(0, 140 + u * 2 - u * 4)) AS BIGINT) AS saved, count(*) FILTER (u * 4 < 140 + u * 2) AS lists FROM (SELECT x % 120 AS u FROM ev)")

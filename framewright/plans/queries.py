@@ -106,10 +106,10 @@ def exempt_edges(spark, sf):
     return df.crossJoin(F.broadcast(n)).where(fn.is_edge(F.col("frame"), F.col("n"), 5)).select("frame")
 
 
-@query("o3_21_sample_bounds", f"WITH {EVENTS} SELECT frame, CAST(greatest(round_even(frame * 44100 / 30.0, 0), 0) AS BIGINT) AS start, CAST(least(round_even((frame + 2) * 44100 / 30.0, 0), 5000000) AS BIGINT) AS stop FROM ev WHERE frame < 3000")
+@query("o3_21_sample_bounds", f"WITH {EVENTS} SELECT frame, CAST(greatest(round_even(frame * 44100 / 30.0, 0), 0) AS BIGINT) AS start, CAST(least(round_even((frame + 2) * 44100 / 30.0, 0), 5000000) AS BIGINT) AS stop FROM ev")
 def sample_bounds(spark, sf):
     start, stop = fn.sample_bounds(F.col("frame"), 30.0, 44_100, 5_000_000, 2)
-    return events(spark, sf).where("frame < 3000").select("frame", start.alias("start"), stop.alias("stop"))
+    return events(spark, sf).select("frame", start.alias("start"), stop.alias("stop"))
 
 
 @query("o3_23_entry_bits", "SELECT p_partkey, (p_partkey & 2047) | ((p_size % 4) << 11) | 32768 AS entry, ((p_partkey & 2047) | ((p_size % 4) << 11) | 32768) & 26623 AS bare FROM part")
@@ -502,10 +502,10 @@ def longest_low_run(spark, sf):
     return islands.ranges_where(events(spark, sf), "frame", F.col("x") < 1_000).agg(F.max("count").alias("longest"), F.sum("count").alias("exposed"))
 
 
-@query("o6_39_class_split", f"WITH {DAYS}, {EVENTS}, d AS (SELECT frame, lines, sum(lines) OVER (ORDER BY frame) AS stop FROM dy WHERE frame < 300), f AS (SELECT count(*) FILTER (state = 'view') OVER (ORDER BY frame) AS n, frame FROM ev) SELECT d.frame, coalesce(b.n, (SELECT max(n) FROM f)) - coalesce(a.n, CASE WHEN stop - lines = 0 THEN 0 ELSE (SELECT max(n) FROM f) END) AS raw, lines - (coalesce(b.n, (SELECT max(n) FROM f)) - coalesce(a.n, CASE WHEN stop - lines = 0 THEN 0 ELSE (SELECT max(n) FROM f) END)) AS other FROM d LEFT JOIN f a ON a.frame = stop - lines - 1 LEFT JOIN f b ON b.frame = stop - 1")
+@query("o6_39_class_split", f"WITH {DAYS}, {EVENTS}, d AS (SELECT frame, lines, sum(lines) OVER (ORDER BY frame) AS stop FROM dy), f AS (SELECT count(*) FILTER (state = 'view') OVER (ORDER BY frame) AS n, frame FROM ev) SELECT d.frame, coalesce(b.n, (SELECT max(n) FROM f)) - coalesce(a.n, CASE WHEN stop - lines = 0 THEN 0 ELSE (SELECT max(n) FROM f) END) AS raw, lines - (coalesce(b.n, (SELECT max(n) FROM f)) - coalesce(a.n, CASE WHEN stop - lines = 0 THEN 0 ELSE (SELECT max(n) FROM f) END)) AS other FROM d LEFT JOIN f a ON a.frame = stop - lines - 1 LEFT JOIN f b ON b.frame = stop - 1")
 def class_split(spark, sf):
     flags = running(events(spark, sf), "frame", {"n": ("count", F.when(F.col("state") == "view", 1))}).select("frame", "n")
-    d = running(days(spark, sf).where("frame < 300"), "frame", {"stop": ("sum", F.col("lines"))})
+    d = running(days(spark, sf), "frame", {"stop": ("sum", F.col("lines"))})
     return fn.class_split(d, flags, "frame", "lines", "stop")
 
 
@@ -660,9 +660,9 @@ def parse_number(spark, sf):
     return e.select("vec_id", F.when(F.col("vec_id") % 3 == 2, fn.number(F.col("t"), hexadecimal=True)).otherwise(fn.number(F.col("t"))).alias("v"))
 
 
-@query("o11_07_text_forms", "SELECT o_orderkey, lpad(CAST(o_orderkey // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS clock, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM orders WHERE o_orderkey < 5000")
+@query("o11_07_text_forms", "SELECT o_orderkey, lpad(CAST(o_orderkey // 60 AS VARCHAR), CAST(greatest(2, length(CAST(o_orderkey // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS clock, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM orders")
 def text_forms(spark, sf):
-    o = read(spark, sf, "orders").where("o_orderkey < 5000")
+    o = read(spark, sf, "orders")
     return o.select("o_orderkey", fn.clock(F.col("o_orderkey")).alias("clock"), fn.slug(F.col("o_orderpriority")).alias("slug"))
 
 

@@ -54,20 +54,29 @@ def online_consensus(samples: DataFrame, window: str, late: str) -> DataFrame:
 
 def online_ledger(requests: DataFrame, a_frame: int) -> DataFrame:
     """(stream, frame, asked, granted): requests (stream, frame, amount) of a frame are granted up to what ``a_frame`` units a
-    frame have earned so far; what is not spent carries over. Frames come in order within a stream."""
+    frame have earned so far; what is not spent carries over.
+
+    Frames come in order within a stream, one frame's requests maybe in several micro-batches: a frame is granted, once, when a
+    later one has come, so results do not depend on where batches are cut. (The last frame of a stream waits; a request of
+    any amount for a frame behind it ends it.) A row of a frame already granted is an error.
+    """
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent = state.get[0] if state.exists else 0
-        asked: Counter = Counter()
+        spent, granted_to, open_frame, open_amount = state.get if state.exists else (0, -1, -1, 0)
+        asked: Counter = Counter({open_frame: open_amount} if open_frame >= 0 else {})
         for pdf in batches:
             for frame, amount in zip(pdf["frame"].tolist(), pdf["amount"].tolist(), strict=True):
+                if frame <= granted_to:
+                    raise ValueError(f"stream {key[0]}: frame {frame} came after frame {granted_to} was granted")
                 asked[frame] += amount
-        out = []
-        for frame in sorted(asked):
+        out, frames = [], sorted(asked)
+        for frame in frames[:-1]:
             granted = max(0, min(asked[frame], (frame + 1) * a_frame - spent))
             spent += granted
+            granted_to = frame
             out.append((key[0], frame, asked[frame], granted))
-        state.update((spent,))
+        state.update((spent, granted_to, frames[-1], asked[frames[-1]]) if frames else (spent, granted_to, -1, 0))
         yield pd.DataFrame(out, columns=["stream", "frame", "asked", "granted"])
 
-    return requests.groupBy("stream").applyInPandasWithState(run, "stream long, frame long, asked long, granted long", "spent long", "append", GroupStateTimeout.NoTimeout)
+    state = "spent long, granted_to long, open_frame long, open_amount long"
+    return requests.groupBy("stream").applyInPandasWithState(run, "stream long, frame long, asked long, granted long", state, "append", GroupStateTimeout.NoTimeout)

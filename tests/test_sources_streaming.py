@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import struct
 import wave
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -121,7 +123,17 @@ def test_online_consensus_and_ledger(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/c")
     ran(online.online_consensus(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/c"), "1 minute", "1 minute"), "votes", "complete")
     assert {(r.value, r.votes) for r in spark.table("votes").collect()} == {(0, 3), (1, 3), (2, 3)}
-    asks = spark.createDataFrame([(1, 0, 3), (1, 1, 20), (1, 2, 4), (2, 0, 99)], "stream long, frame long, amount long")
-    asks.write.parquet(f"{tmp_path}/l")
-    ran(online.online_ledger(spark.readStream.schema(asks.schema).parquet(f"{tmp_path}/l"), 10), "grants")
-    assert {(r.stream, r.frame): r.granted for r in spark.table("grants").collect()} == {(1, 0): 3, (1, 1): 17, (1, 2): 4, (2, 0): 10}
+
+
+def test_online_ledger_does_not_depend_on_batches(spark, tmp_path):
+    """Frame 1 of stream 1 comes in two batches; a last frame waits for a later one."""
+    batches = [[(1, 0, 3), (1, 1, 12), (2, 0, 99)], [(1, 1, 8), (1, 2, 4)], [(1, 3, 0), (2, 1, 0)]]
+    schema = "stream long, frame long, amount long"
+    granted = {(1, 0): (3, 3), (1, 1): (20, 17), (1, 2): (4, 4), (2, 0): (99, 10)}
+    for name, parts in (("three", batches), ("one", [sum(batches, [])])):
+        for k, rows in enumerate(parts):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            os.utime(next(p for p in Path(f"{tmp_path}/{name}").glob("*.parquet") if p.stat().st_mtime > 1e9), (1e9 + k, 1e9 + k))
+        df = spark.readStream.schema("stream long, frame long, amount long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+        ran(online.online_ledger(df, 10), f"grants_{name}")
+        assert {(r.stream, r.frame): (r.asked, r.granted) for r in spark.table(f"grants_{name}").collect()} == granted
