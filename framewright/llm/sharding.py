@@ -91,15 +91,24 @@ def shards(docs: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_co
     ``slot`` numbers a shard's rows from 0 without gaps; with a ``position_col`` (whole numbers from 0, spread evenly) in the
     order of that. ``grown_shard`` is the shard under one leaf more.
     """
+    return shards_of(measured(docs, id_col, text_col, [position_col] if position_col else []), count, position_col)
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Rows (doc_id, size, text_crc32 and the columns to keep): what sharding needs of a document, without its text."""
     text = F.col(text_col).cast("string")
-    found = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), *([F.col(position_col).alias("_position")] if position_col else []))
+    return docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), *(keep or []))
+
+
+def shards_of(found: DataFrame, count: int = SHARDS, position_col: str | None = None, rows: int | None = None) -> DataFrame:
+    """``shards`` of rows as ``measured`` gives them; ``rows`` is their number, counted if it is needed and not given."""
     leaves = tree(count)
     new = Leaf(1 + max(x.region for x in leaves), 1 + max(x.rack for x in leaves), count)
     placed = with_descent(found, F.col("doc_id"), leaves)
     placed = with_descent(placed, F.col("doc_id"), leaves, ("_region", "_rack", "grown_shard"), (new,)).drop("_region", "_rack").withColumn("law", F.lit("key"))
     if position_col:
-        rows, buckets = docs.agg(F.max(position_col)).first()[0] or 0, max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        numbered = slots(placed, "shard", [F.col("_position")], "slot", bucket=F.floor(F.col("_position") / F.lit(1 + rows // buckets)))
+        rows, buckets = found.count() if rows is None else rows, max(64, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        numbered = slots(placed, "shard", [F.col(position_col)], "slot", bucket=F.floor(F.col(position_col) / F.lit(1 + rows // buckets)))
     else:
         numbered = slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "region", "rack")
