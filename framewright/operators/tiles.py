@@ -104,6 +104,29 @@ def frame_features(frames: DataFrame, dark_below: int = 24, uniform_range: int =
     return frames.mapInPandas(run, "frame long, dark double, uniform double, detail double")
 
 
+def edge_steps(keys: str) -> Column:
+    """For each of a tile's 64 keys the sum of channel differences to its neighbours (left, right, above, below) in the tile."""
+    channel = lambda k, shift: F.shiftright(k.cast("int"), shift).bitwiseAND(7)
+    apart = lambda a, b: sum((F.abs(channel(a, s) - channel(b, s)) for s in (3, 0)), F.abs(channel(a, 6) - channel(b, 6)))
+
+    def step(k: Column, i: Column) -> Column:
+        inside = ((i % 8 < 7, 1), (i % 8 > 0, -1), (i < 56, 8), (i >= 8, -8))
+        return sum((F.when(is_in, apart(k, F.get(keys, i + by))).otherwise(0) for is_in, by in inside), F.lit(0))
+
+    return F.transform(keys, step)
+
+
+def edge_weight(step: Column, alpha: float) -> Column:
+    """What a pixel counts in learning a palette: 1 on flat ground, more on edges (21 is the greatest step of a pixel pair)."""
+    return 1 + alpha * step / F.lit(21.0)
+
+
+def weighted_histogram(tiles_df: DataFrame, alpha: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, key, n): sums of edge weights instead of counts."""
+    px = tiles_df.select(*keys, F.explode(F.arrays_zip(F.col("keys").alias("key"), edge_steps("keys").alias("step"))).alias("p"))
+    return px.groupBy(*keys, F.col("p.key").cast("int").alias("key")).agg(F.sum(edge_weight(F.col("p.step"), alpha)).alias("n"))
+
+
 def histogram(tiles_df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return tiles_df.select(*keys, F.explode("keys").alias("key")).groupBy(*keys, F.col("key").cast("int").alias("key")).agg(F.count("*").alias("n"))
 
@@ -182,9 +205,9 @@ def assign_lines(tiles_df: DataFrame, lut: DataFrame) -> DataFrame:
     return by_line.groupBy("frame", "cell").agg(F.min(F.struct("error", "line")).alias("m")).select("frame", "cell", F.col("m.line").alias("line"), F.col("m.error").alias("error"))
 
 
-def learn_lines(tiles_df: DataFrame, lines: int = 4, rounds: int = 6) -> tuple[dict[int, np.ndarray], DataFrame]:
+def learn_lines(tiles_df: DataFrame, lines: int = 4, rounds: int = 6, alpha: float = 0.0) -> tuple[dict[int, np.ndarray], DataFrame]:
     """Palettes for lines of tiles, by turns of assigning tiles and learning from each line's histogram, which is all that
-    reaches the driver (512 numbers a line). The first split is by brightness."""
+    reaches the driver (512 numbers a line). The first split is by brightness. With ``alpha``, pixels on edges weigh more."""
     spark = tiles_df.sparkSession
     bright = F.aggregate("keys", F.lit(0), lambda a, k: a + F.shiftright(k.cast("int"), 6) + F.shiftright(k.cast("int"), 3).bitwiseAND(7) + k.cast("int").bitwiseAND(7))
     cuts = tiles_df.select(F.percentile(bright, F.array(*[F.lit(k / lines) for k in range(1, lines)])).alias("c")).first()["c"] if lines > 1 else []
@@ -194,7 +217,7 @@ def learn_lines(tiles_df: DataFrame, lines: int = 4, rounds: int = 6) -> tuple[d
     before = None
     for _ in range(rounds):
         hist = np.zeros((lines, 512))
-        for r in histogram(assigned, ("line",)).collect():
+        for r in (weighted_histogram(assigned, alpha, ("line",)) if alpha > 0 else histogram(assigned, ("line",))).collect():
             hist[r["line"], r["key"]] = r["n"]
         palettes = {k: learn_palette(hist[k]) if hist[k].any() else palettes.get(k, learn_palette(hist.sum(axis=0))) for k in range(lines)}
         if before is not None and all((palettes[k] == before[k]).all() for k in range(lines)):
