@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.plans import folds as _folds  # noqa: F401  (registers its queries)
 from framewright.plans import inventory as _inventory  # noqa: F401
+from framewright.plans import inventory_folds as _inventory_folds  # noqa: F401
 from framewright.plans import more_queries as _more  # noqa: F401
 from framewright.plans import queries as _queries
 

@@ -178,7 +178,7 @@ def dithered_histogram(spark, sf):
     return tiles.histogram(tiles.tiles(_frames(spark, sf), "bayer"))
 
 
-@query("o13_08_dither_modes", f"WITH {_DITHERED} SELECT 'bayer' AS mode, CAST(key AS INTEGER) AS key, count(*) * 16 AS n FROM dithered GROUP BY 2 UNION ALL SELECT 'nearest', CAST(q * 73 AS INTEGER), count(*) * 16 FROM px GROUP BY 2")
+@query("o13_09_dither_modes", f"WITH {_DITHERED} SELECT 'bayer' AS mode, CAST(key AS INTEGER) AS key, count(*) * 16 AS n FROM dithered GROUP BY 2 UNION ALL SELECT 'nearest', CAST(q * 73 AS INTEGER), count(*) * 16 FROM px GROUP BY 2")
 def dither_modes(spark, sf):
     of = lambda mode: tiles.histogram(tiles.tiles(_frames(spark, sf), mode)).select(F.lit(mode).alias("mode"), "key", "n")
     return of("bayer").union(of("nearest"))
