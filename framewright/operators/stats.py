@@ -74,10 +74,23 @@ def colour_rollup(slots: DataFrame, usage: DataFrame) -> DataFrame:
     return places.join(total, "key", "full_outer").na.fill(0, ["slots", "pixels"])
 
 
-def nearest_rank(value: str, quantile: float) -> Column:
-    """The percentile of the rank nearest to ``quantile * (n - 1)`` (halves to even); 0 if there are no values."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.coalesce(F.get(ordered, F.rint(F.lit(quantile) * (F.size(ordered) - 1)).cast("int")), F.lit(0))
+def nearest_rank(df: DataFrame, value: str, quantile: float, keys: tuple[str, ...] = (), into: str = "percentile") -> DataFrame:
+    """(keys, into): the percentile of the rank nearest to ``quantile * (n - 1)`` (halves to even); 0 if there are no values.
+
+    Equal values are counted first, and the counts are summed along the values block by block: no group's values meet in one
+    task. Nulls do not count; values are numbers but NaN.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    reached = scan.running(counts, "_v", {"_upto": ("sum", F.col("_c"))}, tuple(keys))
+    total = df.groupBy(*keys).agg(F.count(value).alias("_all"))
+    within = lambda side: F.col("_upto") > F.rint(F.lit(quantile) * (side - 1))
+    found = lambda rows: rows.groupBy(*keys).agg(F.min("_v").alias("_v"))
+    if not keys:
+        return found(reached.crossJoin(F.broadcast(total)).where(within(F.col("_all")))).select(F.coalesce("_v", F.lit(0)).alias(into))
+    names = scan._same(keys, "l", "r")
+    hit = found(reached.alias("l").join(total.alias("r"), names).where(within(F.col("r._all"))).select("l.*"))
+    return total.alias("l").join(hit.alias("r"), names, "left").select(*[f"l.{k}" for k in keys], F.coalesce("r._v", F.lit(0)).alias(into))
 
 
 def change_profile(df: DataFrame, value: str) -> DataFrame:

@@ -290,7 +290,7 @@ def change_profile(spark, sf):
 
 @query("o5_20_nearest_rank", f"WITH {EVENTS}, r AS (SELECT state, x, row_number() OVER (PARTITION BY state ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY state) AS n FROM ev) SELECT state, max(x) FILTER (i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95 FROM r GROUP BY 1")
 def nearest_rank(spark, sf):
-    return events(spark, sf).groupBy("state").agg(stats.nearest_rank("x", 0.95).alias("p95"))
+    return stats.nearest_rank(events(spark, sf), "x", 0.95, ("state",), "p95")
 
 
 @query("o5_22_ratio_of_sums", f"WITH {DAYS} SELECT CAST(sum(demand) AS DOUBLE) / greatest(sum(supply), 1) AS rate FROM dy WHERE frame > 0")

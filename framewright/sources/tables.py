@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.operators.align import axis
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, needed: list[str] | None = None) -> DataFrame:
-    """A table with a header; all text without a schema. Blank cells are null. Empty tables and missing columns are errors."""
+def _place() -> Column:
+    """Where a row of a file source stands: file, split of the file, row in the split (a partition has its splits in any order)."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, needed: list[str] | None = None, place: str | None = None) -> DataFrame:
+    """A table with a header; all text without a schema. Blank cells are null. Empty tables and missing columns are errors.
+    ``place`` names a column to add that orders the rows as their files do (files by name)."""
     reader = spark.read.option("sep", "\t").option("header", True).option("nullValue", "").option("mode", "FAILFAST")
     df = reader.csv(path)
     if missing := [c for c in needed or [] if c not in df.columns]:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
+    added = [_place().alias(place)] if place else []
     if schema is not None:
         kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+        df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds], *added)
+    elif added:
+        df = df.select("*", *added)
     if df.isEmpty():
         raise ValueError(f"{path}: no rows")
     return df
 
 
 def read_trace(spark: SparkSession, path: str, schema: T.StructType | str, frame: str = "frame", last_frame: int | None = None) -> DataFrame:
-    """A trace in frame order: rows behind ``last_frame`` are left out, of a repeated frame the last row of the file stays,
-    and the frames must be 0 to n - 1."""
+    """A trace in frame order: rows behind ``last_frame`` are left out, of a repeated frame the last row of the file stays
+    (of several files that of the last by name), and the frames must be 0 to n - 1."""
     from pyspark.sql import Window as W
 
-    df = read_tsv(spark, path, schema, [frame]).withColumn("_place", F.monotonically_increasing_id())
+    df = read_tsv(spark, path, schema, [frame], place="_place")
     if last_frame is not None:
         df = df.where(F.col(frame) <= last_frame)
     latest = F.row_number().over(W.partitionBy(frame).orderBy(F.desc("_place")))
@@ -63,9 +72,10 @@ def receipts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of text files, gz or plain by their suffix."""
-    return spark.read.text(path)
+def lines(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """(value) of text files, gz or plain by their suffix; with the column ``place``, their order, if it is named."""
+    log = spark.read.text(path)
+    return log.select("value", _place().alias(place)) if place else log
 
 
 #: Fixed value: the form of a transfer line of the device log.
@@ -87,8 +97,9 @@ def compacted(log: DataFrame, noise: str) -> tuple[DataFrame, DataFrame]:
     return log.where(~noisy), log.agg(F.count_if(noisy).alias("dropped"))
 
 
-def summaries(log: DataFrame, prefixes: list[str]) -> DataFrame:
-    """(prefix, line): the last line of the log that starts with each prefix."""
+def summaries(log: DataFrame, prefixes: list[str], place: str | None = None) -> DataFrame:
+    """(prefix, line): the last line of the log that starts with each prefix, in the order of ``place``; a log without that
+    column must be one unsplit file (a compressed one, say), whose rows are in order."""
     from framewright.functions.scalars import last_by_prefix
 
-    return last_by_prefix(log.withColumn("_o", F.monotonically_increasing_id()), "value", "_o", prefixes)
+    return last_by_prefix(log if place else log.withColumn("_o", F.monotonically_increasing_id()), "value", place or "_o", prefixes)

@@ -30,6 +30,14 @@ def test_trace_rules(spark, tmp_path):
     one = tmp_path / "a.tsv"
     one.write_text("frame\tv\n0\t5\n1\t6\n1\t7\n2\t8\n")
     assert [tuple(r) for r in tables.read_trace(spark, str(one), "frame long, v long", last_frame=1).orderBy("frame").collect()] == [(0, 5), (1, 7)]
+    # The later file is the longer one, which Spark deals out first.
+    two = tmp_path / "two"
+    two.mkdir()
+    (two / "a.tsv").write_text("frame\tv\n0\t1\n1\t2\n")
+    (two / "b.tsv").write_text("frame\tv\n" + "".join(f"{k}\t{k * 10}\n" for k in range(400)))
+    assert tables.read_trace(spark, str(two), "frame long, v long").where("v <> frame * 10").count() == 0
+    (two / "c.tsv").write_text("frame\tv\n1\t7\n")
+    assert [tuple(r) for r in tables.read_trace(spark, str(two), "frame long, v long").where("v <> frame * 10").collect()] == [(1, 7)]
     one.write_text("frame\tv\n0\t5\n2\t8\n")
     with pytest.raises(ValueError):
         tables.read_trace(spark, str(one), "frame long, v long")
@@ -47,6 +55,7 @@ def test_logs(spark, tmp_path):
     kept, dropped = tables.compacted(log, "^noise")
     assert kept.count() == 3 and dropped.first().dropped == 2
     assert tables.summaries(log, ["Mode="]).first().line == "Mode=4 last"
+    assert tables.summaries(tables.lines(spark, str(path), "at"), ["Mode="], "at").first().line == "Mode=4 last"
     assert tables.receipts(spark, str(tmp_path)).first().bytes == path.stat().st_size
 
 

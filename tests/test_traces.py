@@ -248,7 +248,12 @@ def test_percentiles_and_extrema(spark):
     rng = random.Random(5)
     values = [rng.randint(0, 99) for _ in range(38)]
     df = trace(spark, v=values)
-    assert df.agg(stats.nearest_rank("v", 0.95).alias("p")).first().p == np.percentile(values, 95, method="nearest")
+    assert stats.nearest_rank(df, "v", 0.95).first().percentile == np.percentile(values, 95, method="nearest")
+    assert stats.nearest_rank(df.where("false"), "v", 0.95).first().percentile == 0
+    wide = {k: [rng.uniform(-300_000, 300_000) for _ in range(1 + 7 * k)] for k in range(5)}
+    rows = [(k, v) for k, vs in wide.items() for v in vs] + [(None, 2.5), (None, 2.5), (9, None)]
+    got = {r.k: r.p for r in stats.nearest_rank(spark.createDataFrame(rows, "k long, v double"), "v", 0.6, ("k",), "p").collect()}
+    assert got == {k: np.percentile(vs, 60, method="nearest") for k, vs in wide.items()} | {None: 2.5, 9: 0.0}
     edges = np.rint(np.linspace(2, 37, 10)).astype(int)
     got = sorted(tuple(r) for r in stats.extrema(df, "frame", "v", 2, 37, 9).collect())
     assert got == [(k, min(values[a:b]), max(values[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
