@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,3 +128,41 @@ def fades(frames: DataFrame, black: float = 6.0, least: int = 3, most: int = 48,
         return pd.DataFrame(found, columns=["stream", "kind", "start", "stop"])
 
     return frames.groupBy("stream").applyInPandas(run, "stream long, kind string, start long, stop long")
+
+
+def world_cells(axis: str, position: int, delta: int, columns: int, rows: int, tile: int = 8) -> np.ndarray:
+    """(cells, 2): rows and columns, on an endless plane, of the tiles that a view of ``rows`` by ``columns`` starts at, then of the
+    strip that comes in next: behind the view if it moves down or stands, before it if it moves up."""
+    if axis not in ("horizontal", "vertical") or min(columns, rows, tile) <= 0:
+        raise ValueError("a view along either axis needs positive sizes")
+    first, across = -position // tile, axis == "horizontal"
+    down, right = (0, first) if across else (first, 0)
+    y, x = np.indices((rows, columns)).reshape(2, -1)
+    view = np.stack([y + down, x + right], axis=1)
+    length = columns if across else rows
+    strip = np.arange(rows if across else columns)
+    edge = np.full_like(strip, first + length if delta <= 0 else first - 1)
+    return np.concatenate([view, np.stack([strip, edge] if across else [edge, strip], axis=1)])
+
+
+def projected(frames: DataFrame, columns: int, rows: int, tile: int = 8) -> DataFrame:
+    """(frame, place, row, column, guard, shown, pixels): frames (frame, height, width, pixels, axis, position, delta, base) laid on the
+    tiles of a plane that has moved by ``position``. Where a tile lies outside the picture it keeps the pixels of ``base`` (all
+    tiles in order; null: black). ``guard`` marks the strip that comes in next, ``shown`` counts a tile's pixels from the picture."""
+    kind = "frame long, place int, row long, column long, guard boolean, shown int, pixels binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inner = np.arange(tile)
+        for pdf in batches:
+            for f, h, w, px, axis, position, delta, base in pdf[["frame", "height", "width", "pixels", "axis", "position", "delta", "base"]].itertuples(index=False):
+                cells = world_cells(axis, int(position), int(delta), columns, rows, tile)
+                at = cells[:, :, None] * tile + inner + np.array([[position * (axis == "vertical")], [position * (axis == "horizontal")]])
+                y, x = at[:, 0, :, None], at[:, 1, None, :]
+                inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+                size = (len(cells), tile, tile, 3)
+                under = np.zeros(size, np.uint8) if base is None else np.frombuffer(base, np.uint8).reshape(size)
+                over = image_of(px, h, w)[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)]
+                laid = np.where(inside[..., None], over, under)
+                yield pd.DataFrame({"frame": f, "place": np.arange(len(cells), dtype=np.int32), "row": cells[:, 0], "column": cells[:, 1], "guard": np.arange(len(cells)) >= rows * columns, "shown": inside.sum(axis=(1, 2)).astype(np.int32), "pixels": [t.tobytes() for t in laid]})
+
+    return frames.mapInPandas(run, kind)

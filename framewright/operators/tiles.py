@@ -342,6 +342,47 @@ def flicker(frames: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "frame long, changed long, back long, peak long")
 
 
+#: 3 by 3 kernels and their divisors; the slope below which an area is flat, and that above which it is an edge.
+SMOOTH = ((1, 2, 1), (2, 4, 2), (1, 2, 1)), 16
+SLOPE = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1)), 8
+CHECKER = ((1, -1, 0), (-1, 1, 0), (0, 0, 0)), 4
+FLAT_BELOW, EDGE_ABOVE = 4.0, 12.0
+
+
+def _under(kernel: tuple[tuple[tuple[int, ...], ...], int], image: np.ndarray, turned: bool = False) -> np.ndarray:
+    """The weighted sum around each pixel; beyond the borders the picture is mirrored."""
+    weights = np.array(kernel[0]) / kernel[1]
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(image, 1, mode="reflect"), (3, 3))
+    return np.einsum("yxij,ij->yx", around, weights.T if turned else weights)
+
+
+def filter_change(source: np.ndarray, filtered: np.ndarray) -> dict[str, float | None]:
+    """What a filter does to a picture: mean change; the checkerboard left in flat areas; how much of the edges' slope remains, and how
+    it correlates with the slope before. None where there is no such area."""
+    before, after = (x.astype(np.float64) @ np.array(LUMA) for x in (source, filtered))
+    slopes = [np.hypot(_under(SLOPE, smooth), _under(SLOPE, smooth, turned=True)) for smooth in (_under(SMOOTH, before), _under(SMOOTH, after))]
+    flat, edge = slopes[0] < FLAT_BELOW, slopes[0] > EDGE_ABOVE
+    was, now = slopes[0][edge], slopes[1][edge]
+    return {
+        "change": float(np.abs(filtered.astype(np.float64) - source).mean()),
+        "checker": float(np.abs(_under(CHECKER, after))[flat].mean()) if flat.any() else None,
+        "edge_ratio": float(now.mean() / was.mean()) if edge.any() else None,
+        "edge_correlation": float(np.corrcoef(was, now)[0, 1]) if len(was) > 1 and was.std() and now.std() else None,
+    }
+
+
+def filter_report(pairs: DataFrame) -> DataFrame:
+    """(frame, change, checker, edge_ratio, edge_correlation) of rows (frame, height, width, pixels, filtered); one row at a time."""
+    names = ["change", "checker", "edge_ratio", "edge_correlation"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [filter_change(image_of(a, h, w), image_of(b, h, w)) for h, w, a, b in pdf[["height", "width", "pixels", "filtered"]].itertuples(index=False)]
+            yield pd.DataFrame({"frame": pdf["frame"].to_numpy(), **{n: np.array([r[n] for r in found], dtype=object) for n in names}})
+
+    return pairs.mapInPandas(run, "frame long, " + ", ".join(f"{n} double" for n in names))
+
+
 def correlation(a: np.ndarray, b: np.ndarray) -> float:
     """Normalised cross-correlation of two patches; 0 for a flat one."""
     a, b = a - a.mean(), b - b.mean()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import scalars as fn
-from framewright.operators import align, clamp, islands, palettes, ranking, signal, stats, tiles
+from framewright.operators import align, clamp, islands, motion, palettes, ranking, signal, stats, tiles
 from framewright.operators.scan import running
 from framewright.sources import archives, binary, control, tables
 
@@ -441,3 +441,43 @@ def size_contract(spark, sf):
 def region_lookup(spark, sf):
     nations, regions = read(spark, sf, "nation"), read(spark, sf, "region")
     return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", F.coalesce("r_name", F.lit("none")).alias("region"))
+
+
+def _tripled(level) -> F.Column:
+    """Frames of 8 by 8 grey tiles side by side, four times in either direction, of a level function over their values."""
+    grey = F.transform("l", lambda v: F.lpad(F.hex(level(v)), 2, "0"))
+    row = lambda k: F.concat(*[F.array_join(F.transform(F.slice(grey, k * 8 + 1, 8), lambda h: F.concat(h, h, h)), "")] * 4)
+    return F.unhex(F.repeat(F.concat(*[row(k) for k in range(8)]), 4))
+
+
+@query("o16_37_filter_report")
+def filter_report(spark, sf):
+    """Pictures against a coarser form of themselves."""
+    levels = _levels(spark, sf)
+    sizes = [F.lit(32).alias("height"), F.lit(32).alias("width")]
+    return tiles.filter_report(levels.select("frame", *sizes, _tripled(lambda v: v).alias("pixels"), _tripled(lambda v: F.floor(v / 16).cast("int") * 16).alias("filtered")))
+
+
+@query("o16_37_filter_change", f"WITH {_LV} SELECT frame, list_avg(list_transform(l, lambda v: v % 16))::DOUBLE AS change FROM lv")
+def filter_change(spark, sf):
+    """The mean change alone, which SQL can express without ties at the limits of slopes."""
+    return filter_report(spark, sf).select("frame", "change")
+
+
+@query("o16_41_projected_tiles", f"""WITH {_LV}, st AS (SELECT frame, l, frame % 2 = 0 AS across, frame % 23 - 11 AS pos, frame % 3 - 1 AS delta, CAST(floor(-(frame % 23 - 11) / 8::DOUBLE) AS BIGINT) AS first FROM lv),
+cells AS (SELECT st.*, p, p >= 12 AS guard,
+    CASE WHEN across THEN CASE WHEN p < 12 THEN p // 4 ELSE p - 12 END ELSE CASE WHEN p < 12 THEN first + p // 4 WHEN delta <= 0 THEN first + 3 ELSE first - 1 END END AS r,
+    CASE WHEN across THEN CASE WHEN p < 12 THEN first + p % 4 WHEN delta <= 0 THEN first + 4 ELSE first - 1 END ELSE CASE WHEN p < 12 THEN p % 4 ELSE p - 12 END END AS c
+  FROM st, range(16) t(p) WHERE across AND p < 15 OR NOT across),
+px2 AS (SELECT frame, p, guard, r, c, l, r * 8 + i // 8 + CASE WHEN across THEN 0 ELSE pos END AS y, c * 8 + i % 8 + CASE WHEN across THEN pos ELSE 0 END AS x FROM cells, range(64) u(i))
+SELECT frame, CAST(p AS INTEGER) AS place, r AS "row", c AS "column", guard, CAST(count(*) FILTER (y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31) AS INTEGER) AS shown,
+  CAST(coalesce(sum(l[y % 8 * 8 + x % 8 + 1]) FILTER (y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31), 0) AS BIGINT) AS total
+FROM px2 GROUP BY frame, p, guard, r, c""")
+def projected_tiles(spark, sf):
+    """Pictures on a moving plane of three by four tiles and the strip that comes in; the sum of each tile's red bytes."""
+    frame = F.col("frame")
+    state = [F.when(frame % 2 == 0, "horizontal").otherwise("vertical").alias("axis"), (frame % 23 - 11).alias("position"), (frame % 3 - 1).alias("delta"), F.lit(None).cast("binary").alias("base")]
+    found = motion.projected(_levels(spark, sf).select("frame", F.lit(32).alias("height"), F.lit(32).alias("width"), _tripled(lambda v: v).alias("pixels"), *state), 4, 3)
+    level = lambda k: F.conv(F.substring(F.hex("pixels"), k * 6 + 1, 2), 16, 10).cast("long")
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, k: a + level(k))
+    return found.select("frame", "place", "row", "column", "guard", "shown", total.alias("total"))

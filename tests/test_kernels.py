@@ -270,3 +270,50 @@ def test_ring_schedule_meets_deadlines():
         assert have_p * 4 - sum(loads[: k + 1]) <= 12
     with pytest.raises(ValueError):
         planning.ring_schedule([0, 99], [0, 0], [1, 1], 400, 4, 2_048)
+
+
+def test_filter_change_by_loops(spark):
+    rng = np.random.default_rng(8)
+    smooth = np.repeat(np.linspace(0, 90, 24)[:, None, None], 20, axis=1).repeat(3, axis=2) + rng.integers(0, 4, (24, 20, 3))
+    source = smooth.astype(np.uint8)
+    source[:, 12:] = np.minimum(source[:, 12:].astype(int) + 120, 255)
+    filtered = (source // 16 * 16).astype(np.uint8)
+
+    def under(kernel, image, y, x):
+        h, w = image.shape
+        mirror = lambda k, n: abs(k) if k < n else 2 * (n - 1) - k
+        return sum(kernel[0][i][j] * image[mirror(y + i - 1, h), mirror(x + j - 1, w)] for i in range(3) for j in range(3)) / kernel[1]
+
+    def every(kernel, image):
+        return np.array([[under(kernel, image, y, x) for x in range(image.shape[1])] for y in range(image.shape[0])])
+
+    turned = tuple(zip(*tiles.SLOPE[0], strict=True)), tiles.SLOPE[1]
+    grey = [x @ np.array(tiles.LUMA) for x in (source.astype(float), filtered.astype(float))]
+    slope = [np.sqrt(every(tiles.SLOPE, s) ** 2 + every(turned, s) ** 2) for s in (every(tiles.SMOOTH, g) for g in grey)]
+    edge, flat = slope[0] > tiles.EDGE_ABOVE, slope[0] < tiles.FLAT_BELOW
+    assert edge.any() and flat.any() and not (edge | flat).all()
+    expected = [np.abs(filtered.astype(int) - source).mean(), np.abs(every(tiles.CHECKER, grey[1]))[flat].mean(), slope[1][edge].mean() / slope[0][edge].mean(), np.corrcoef(slope[0][edge], slope[1][edge])[0, 1]]
+    rows = [(0, 24, 20, source.tobytes(), filtered.tobytes()), (1, 4, 4, bytes(48), bytes(48))]
+    got = {r.frame: r for r in tiles.filter_report(spark.createDataFrame(rows, "frame long, height int, width int, pixels binary, filtered binary")).collect()}
+    assert list(got[0])[1:] == pytest.approx(expected)
+    assert tuple(got[1])[1:] == (0.0, 0.0, None, None)
+
+
+def test_projected_tiles(spark):
+    picture = np.arange(16 * 8 * 3, dtype=np.uint8).reshape(8, 16, 3)
+    base = np.full((3, 8, 8, 3), 247, np.uint8).tobytes()
+    rows = [(0, 8, 16, picture.tobytes(), "horizontal", -5, -5, base), (1, 8, 16, picture.tobytes(), "horizontal", 5, 5, base), (2, 8, 16, picture.tobytes(), "horizontal", 0, 0, None)]
+    df = spark.createDataFrame(rows, "frame long, height int, width int, pixels binary, axis string, position long, delta long, base binary")
+    got = {(r.frame, r.place): r for r in motion.projected(df, 2, 1).collect()}
+    tile = lambda f, k: np.frombuffer(got[f, k].pixels, np.uint8).reshape(8, 8, 3)
+    # Five of the incoming strip's columns are in the picture; the others keep what was there.
+    assert (tile(0, 2)[:, :5] == picture[:, 11:16]).all() and (tile(0, 2)[:, 5:] == 247).all()
+    assert (got[0, 2].row, got[0, 2].column, got[0, 2].guard, got[0, 2].shown) == (0, 2, True, 40)
+    # Moved the other way, the first tile begins left of the picture, and the strip before it is hidden.
+    assert (tile(1, 0)[:, :3] == 247).all() and (tile(1, 0)[:, 3:] == picture[:, :5]).all()
+    assert (tile(1, 2) == 247).all() and (got[1, 2].column, got[1, 2].shown) == (-2, 0)
+    assert (tile(2, 1) == picture[:, 8:]).all() and (tile(2, 2) == 0).all()
+    with pytest.raises(ValueError):
+        motion.world_cells("diagonal", 0, 0, 2, 1)
+    down = motion.world_cells("vertical", 9, 1, 2, 3)
+    assert down.tolist() == [[-2, 0], [-2, 1], [-1, 0], [-1, 1], [0, 0], [0, 1], [-3, 0], [-3, 1]]
