@@ -8,7 +8,8 @@ source is less than one block off its share of the target weights.
 When a source has no block left, a phase ends: the others go on with their weights scaled up. With n blocks a source and
 weights in proportion to w, slot ``T(v) = sum(min(n, w * v))`` is when the shares have come to ``w * v`` blocks each, so
 block i is released at ``floor(T(i / w))`` and due at ``ceil(T((i + 1) / w))``, through all phases. The driver schedules the
-blocks (not the rows), in a heap of the sources. No row is dropped or repeated. The rows' order within a source is that of a
+blocks (not the rows), in a heap of the sources; blocks grow with the table so that ``max_blocks`` (and one for each source)
+suffice, and the bound of one block is then that part of all rows. No row is dropped or repeated. The rows' order within a source is that of a
 hash of their ids; the numbering sees no source as a whole in any task.
 
 Defined results: a null source is a source; weights of unknown sources are ignored and sources without a weight get the least
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from ._common import slots, small
 
 BLOCK_ROWS, POWER = 8, 0.5
+#: A block holds this part of all rows if that is more than its given size: the driver's plan does not grow with the table.
+MAX_BLOCKS = 1 << 20
 #: If set, more sources than this are an error.
 MAX_SOURCES: int | None = None
 
@@ -106,16 +109,18 @@ def period_slots(parts: dict[str | None, int]) -> dict[str | None, list[int]]:
     return out
 
 
-def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, power: float = POWER, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, power: float = POWER, source_col: str = "source", id_col: str = "doc_id", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``docs`` (with no column that starts with an underscore but ``_row``) with _block, _phase, _release, _deadline, _slot and _position (a long, gapless from 0).
 
     ``weights`` are by source (null as None); without them a source weighs its number of rows to the ``power``. With a
-    ``period`` they are first made whole numbers of that sum.
+    ``period`` they are first made whole numbers of that sum. Blocks hold ``block_rows`` rows, or a ``max_blocks``-th of all
+    rows if that is more; the last block of a source may be short.
     """
     spark = docs.sparkSession
     rows = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).collect()}
     if MAX_SOURCES is not None and len(rows) > MAX_SOURCES:
         raise ValueError(f"{len(rows)} sources; at most {MAX_SOURCES} can be scheduled")
+    block_rows = max(block_rows, -(-sum(rows.values()) // max_blocks))
     if weights is None:
         weights = {s: n**power for s, n in rows.items()}
     else:

@@ -144,6 +144,20 @@ def test_mixture(spark):
     assert [r.slot for r in order] == sorted(r.slot for r in got)
 
 
+@pytest.mark.parametrize("most", [1, 7, 60, 1_000])
+def test_blocks_grow_with_the_table(spark, most):
+    rows = {"a": 331, "b": 120, None: 49, "c": 3}
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(s for s, n in rows.items() for _ in range(n))], "doc_id long, source string")
+    got = mixing.mixture(docs, block_rows=2, max_blocks=most).collect()
+    size = max(2, ceil(503 / most))
+    assert len({r.slot for r in got}) == sum(ceil(n / size) for n in rows.values()) <= max(most, 252) + len(rows)
+    assert sorted(r.position for r in got) == list(range(503))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    for s, n in rows.items():
+        held = Counter(r.block for r in got if r.source == s)
+        assert held == {k: min(size, n - k * size) for k in range(ceil(n / size))}
+
+
 def test_mixing_edges(edge, empty):
     assert sorted(r.position for r in mixing.mixture(edge).collect()) == list(range(11))
     assert mixing.mixture(empty).collect() == []
