@@ -197,12 +197,22 @@ def nearest_lut(spark, palettes: dict[int, np.ndarray], **options) -> DataFrame:
     return spark.createDataFrame(rows, "line int, key int, error long, index int")
 
 
+def with_line(tiles_df: DataFrame, lut: DataFrame) -> DataFrame:
+    """Add to each tile (with the column keys) the line of the least error, of equal ones the least, and that error. The table (line,
+    key, error; keys from 0 on, each line all of them) is broadcast as one row, each tile sums its own keys: nothing is shuffled."""
+    of_line = lut.groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "error"))), lambda x: x["error"]).alias("errors"))
+    costs = of_line.agg(F.collect_list(F.struct("line", "errors")).alias("_costs"))
+    none = F.lit(0).cast(lut.schema["error"].dataType)
+    cost = lambda errors: F.aggregate("keys", none, lambda total, k: total + F.get(errors, k.cast("int")))
+    least = F.array_min(F.transform("_costs", lambda c: F.struct(cost(c["errors"]).alias("error"), c["line"].alias("line"))))
+    names = [c for c in tiles_df.columns if c not in ("line", "error")]
+    found = tiles_df.where(F.size("keys") > 0).select(*names).join(F.broadcast(costs), how="cross").select(*names, least.alias("_m"))
+    return found.select(*names, F.col("_m.line").alias("line"), F.col("_m.error").alias("error"))
+
+
 def assign_lines(tiles_df: DataFrame, lut: DataFrame) -> DataFrame:
     """(frame, cell, line, error): for each tile the line of the least error, of equal ones the least."""
-    px = tiles_df.select("frame", "cell", F.explode("keys").alias("k"))
-    cost = px.groupBy("frame", "cell", F.col("k").cast("int").alias("key")).agg(F.count("*").alias("n")).join(F.broadcast(lut), "key")
-    by_line = cost.groupBy("frame", "cell", "line").agg(F.sum(F.col("n") * F.col("error")).alias("error"))
-    return by_line.groupBy("frame", "cell").agg(F.min(F.struct("error", "line")).alias("m")).select("frame", "cell", F.col("m.line").alias("line"), F.col("m.error").alias("error"))
+    return with_line(tiles_df, lut).select("frame", "cell", "line", "error")
 
 
 def learn_lines(tiles_df: DataFrame, lines: int = 4, rounds: int = 6, alpha: float = 0.0) -> tuple[dict[int, np.ndarray], DataFrame]:
@@ -223,7 +233,7 @@ def learn_lines(tiles_df: DataFrame, lines: int = 4, rounds: int = 6, alpha: flo
         if before is not None and all((palettes[k] == before[k]).all() for k in range(lines)):
             break
         before = palettes
-        assigned = tiles_df.join(assign_lines(tiles_df, nearest_lut(spark, palettes, squared=False)).select("frame", "cell", "line"), ["frame", "cell"])
+        assigned = with_line(tiles_df, nearest_lut(spark, palettes, squared=False)).drop("error")
     return palettes, assigned
 
 
