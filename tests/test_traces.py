@@ -268,3 +268,17 @@ def test_scalars(spark):
     assert {x.path: x.value for x in flat.collect()} == {"a.b": "1", "a.c": "[1,2]", "d": "x"}
     with pytest.raises(ValueError):
         fn.cyclic_cap(F.lit(1), [2, 3], "2:170")
+
+
+def test_carried_usage_outside_the_segments(spark):
+    """Updates before the first segment, across its edges, and behind the last one."""
+    updates = [(c, f, (c + f) % 3) for c in range(3) for f in range(c, 40, 4 + c)]
+    segments = [(k, 7 + 5 * k, 12 + 5 * k) for k in range(3)]
+    want = {}
+    for c, f, key in updates:
+        until = min((g for d, g, _ in updates if d == c and g > f), default=40)
+        for k, start, stop in segments:
+            if (n := min(until, stop) - max(f, start)) > 0:
+                want[k, key] = want.get((k, key), 0) + n
+    got = stats.carried_usage(spark.createDataFrame(updates, "cell long, frame long, key long"), spark.createDataFrame(segments, "segment long, start long, stop long"), "cell", "frame", "key", 40)
+    assert {(r.segment, r.key): r.frames for r in got.collect()} == want
