@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,33 @@ def removed(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Delete the files of ``df``, one that ``durable`` made and nothing reads any more, and the shuffles that only it or others
+    out of use had. Spark itself keeps the former, and the latter until the driver happens to collect garbage."""
+    sc, at = df.sparkSession.sparkContext, df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if at.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    sc._jvm.System.gc()
+
+
+def filtered(df: DataFrame, column: str, ids: DataFrame, how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``df`` whose whole-number ``column`` is among ``ids`` (one column; how: left_semi) or is not (left_anti).
+
+    Ids are packed, 64 neighbours to a row, so that a broadcast holds up to 64 times ``bound`` of them and ``df``, with its
+    texts, need not be shuffled. Ids so sparse that their packed rows pass the bound leave the join to a shuffle.
+    """
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).where("_id is not null")
+    packed = durable(ids.groupBy(F.shiftright("_id", 6).alias("_high")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_id & 63 as int))")).alias("_bits")))
+    if (n := packed.count()) > bound:
+        return df.join(ids.distinct(), F.col(column) == F.col("_id"), how)
+    own = F.col(column).cast("long")
+    held = df.join(small(packed, n, bound), F.shiftright(own, 6) == F.col("_high"), "left")
+    found = F.coalesce(F.expr(f"(shiftright(_bits, cast(`{column}` & 63 as int)) & 1) = 1"), F.lit(False))
+    return held.where(found if how == "left_semi" else ~found).drop("_high", "_bits")
+
+
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` (counted unless ``rows`` is given) is within ``bound``; else leave the join to a shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= bound else df
@@ -123,28 +151,40 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
 
 
+def _starred(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = low.groupBy("a").agg(F.min("b").alias("m"))
+    linked = low.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
+    return linked.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root being the smallest node that can be reached.
 
-    First each task contracts up to ``edges_a_task`` edges to stars around least nodes. If one task had all, that is the
-    answer. Else large-star and small-star steps follow by turns: each is an aggregation of the least neighbour and a join
-    with it, so a hub's neighbours are never gathered in one row. Every second step is cut off by a checkpoint. Nodes without
-    an edge have no row; self-edges and repeated edges do no harm; no edges give no rows.
+    First each task contracts up to ``edges_a_task`` edges to stars around least nodes, and again while that leaves fewer tasks.
+    If one task has all, that is the answer. Else large-star and small-star steps follow by turns: each is an aggregation of the
+    least neighbour and a join with it, so a hub's neighbours are never gathered in one row. Every second step is cut off by a
+    checkpoint, and the one before is deleted. Nodes without an edge have no row; self-edges and repeated edges do no harm; no
+    edges give no rows.
     """
     edges = durable(edges.where("a <> b").select("a", "b"))
-    tasks = max(1, -(-edges.count() // edges_a_task))
-    edges = durable(edges.coalesce(tasks).mapInArrow(_contracted, "a long, b long").distinct() if tasks > 1 else edges.coalesce(1).mapInArrow(_contracted, "a long, b long"))
+    needed = lambda: max(1, -(-edges.count() // edges_a_task))
+    tasks, fewer = None, needed()
+    while tasks is None or 1 < tasks > fewer:
+        tasks, before = fewer, edges
+        edges = durable(edges.coalesce(tasks).mapInArrow(_contracted, "a long, b long"))
+        forgotten(before)
+        fewer = needed() if tasks > 1 else 1
     digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    before = digest(edges) if tasks > 1 else None
-    stable = tasks == 1
+    now, stable = digest(edges) if tasks > 1 else None, tasks == 1
     while not stable:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = low.groupBy("a").agg(F.min("b").alias("m"))
-        linked = low.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
-        after = durable(linked.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = digest(after)
-        edges, stable, before = after, now == before, now
+        before, past = now, edges
+        edges = durable(_starred(edges))
+        now = digest(edges)
+        stable = now == before
+        forgotten(past)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import batches_of, components, durable, forest, small, written
+from ._common import batches_of, components, durable, filtered, forest, forgotten, small, written
 from ._text import byte_rows, mix, shingles, word_hashes
 
 SHINGLE_WORDS, PERCENT, BLOCK_SHINGLES = 4, 85, 1_500_000
@@ -331,18 +331,20 @@ def _by_id(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, perc
     buckets = 4 * tasks
     with batches_of(spark, TEXTS_A_BATCH):
         scanned = durable(texts.mapInArrow(_scan(shingle_words, percent, buckets), _SCANNED))
-    rows = scanned.where("bucket is null").select("doc_id", "n_shingles", "k1", "k2")
+    rows = durable(scanned.where("bucket is null").select("doc_id", "n_shingles", "k1", "k2"))
     classes = durable(rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
     met = components(scanned.where("bucket is not null").select("bucket", "postings").groupBy("bucket").applyInArrow(_meet, _LINK))
+    forgotten(scanned)
     found = durable(classes.join(met, F.col("k1") == F.col("node")).select("class_id", F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("root").alias("block")))
     n = found.count()
-    asked = texts.join(small(found, n), F.col("doc_id") == F.col("class_id")).select("doc_id", "text")
+    asked = filtered(texts, "doc_id", found.select("class_id"), "left_semi").select("doc_id", "text")
     sets = asked.mapInArrow(_sets(shingle_words), _SET)
     sets = sets.join(small(found, n), (F.col("doc_id") == F.col("class_id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     sets = sets.select(F.col("class_id").alias("id"), "block", "n_shingles", "shingles").dropDuplicates(["id"])
     with batches_of(spark, TEXTS_A_BATCH):
         sets = durable(sets)
     groups = components(_links(sets, percent, block_shingles, tasks))
+    forgotten(sets)
     members = classes.join(groups, F.col("class_id") == F.col("node"), "left").select("k1", "k2", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     out = rows.join(members, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -353,16 +355,15 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     if none has an id. Texts without words stay."""
     if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint") and docs.where("doc_id is null").isEmpty():
         verdict = durable(ngram_components(docs, **options))
-        gone = verdict.where("doc_id <> component_id").select("doc_id").distinct()
-        kept = docs.join(small(gone), "doc_id", "left_anti")
+        kept = filtered(docs, "doc_id", verdict.where("doc_id <> component_id").select("doc_id"), "left_anti")
         twice = verdict.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
         if twice.isEmpty():
             return kept
         # Repeated rows share an id and a set: one of each stays.
-        return kept.join(small(twice), "doc_id", "left_anti").unionByName(kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return filtered(kept, "doc_id", twice, "left_anti").unionByName(filtered(kept, "doc_id", twice, "left_semi").dropDuplicates(["doc_id"]))
     packed = written(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.monotonically_increasing_id().alias("_key")))
     verdict = _by_id(packed, "_key", "text", *({"shingle_words": SHINGLE_WORDS, "percent": PERCENT, "block_shingles": BLOCK_SHINGLES} | options).values())
     named = durable(verdict.select(F.col("doc_id").alias("_key"), "n_shingles", "component_id").join(packed.select("_key", "doc_id"), "_key"))
     first = named.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key"))
     keys = durable(first.select("_key").union(named.where("n_shingles = 0").select("_key")))
-    return packed.join(small(keys), "_key", "left_semi").select("_row.*")
+    return filtered(packed, "_key", keys, "left_semi").select("_row.*")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
@@ -67,3 +68,40 @@ def test_slots_in_order(spark):
     rows = [(k % 3, k) for k in range(1_000)]
     got = _common.slots(spark.createDataFrame(rows, "g long, v long"), "g", [F.col("v")], "slot", bucket=F.floor(F.col("v") / 77)).collect()
     assert all(r.slot == r.v // 3 for r in got)
+
+
+@pytest.mark.parametrize("bound", [1, 1_000_000])
+def test_filter_by_packed_ids(spark, bound):
+    rng = random.Random(5)
+    ids = [0, 63, 64, -1, -64, -65, 2**63 - 1, -(2**63), *(rng.randrange(-500, 500) for _ in range(300))]
+    rows = [(x, str(n)) for n, x in enumerate([None, *ids, *ids, *range(-520, 520)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(x,) for x in [None, *ids[::2], *ids[::2]]], "k long")
+    for how, inside in (("left_semi", True), ("left_anti", False)):
+        got = _common.filtered(df, "doc_id", asked, how, bound)
+        assert got.columns == df.columns
+        assert sorted(map(repr, got.collect())) == sorted(repr(r) for r in df.collect() if (r.doc_id in set(ids[::2])) == inside)
+
+
+def test_filter_of_a_million_ids_moves_no_text(spark):
+    """1,000,001 neighbouring ids are 15,626 packed rows: a broadcast, and no exchange of the texts."""
+    docs = spark.range(0, 1_500_000, 1, 8).selectExpr("id as doc_id", "concat('text ', id) as text")
+    got = _common.filtered(docs, "doc_id", spark.range(1_000_001), "left_anti")
+    assert got.count() == 499_999
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_contract_without_star_steps(spark, monkeypatch):
+    """Many repeated edges over few nodes, as the lists of many buckets give, are contracted task by task."""
+    monkeypatch.setattr(_common, "_starred", None)
+    edges = [(k % 50, (k * 7 + 1) % 50 + 100 * (k % 2)) for k in range(4_000)]
+    got = _common.components(spark.createDataFrame(edges, "a long, b long").repartition(64), edges_a_task=400).collect()
+    assert {r.node: r.root for r in got} == brute(edges)
+
+
+def test_what_is_forgotten_leaves_the_shared_folder(spark):
+    held = _common.durable(spark.range(1_000))
+    path = held._jdf.logicalPlan().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(path)
+    _common.forgotten(held)
+    assert not os.path.exists(path)
