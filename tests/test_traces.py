@@ -282,3 +282,26 @@ def test_carried_usage_outside_the_segments(spark):
                 want[k, key] = want.get((k, key), 0) + n
     got = stats.carried_usage(spark.createDataFrame(updates, "cell long, frame long, key long"), spark.createDataFrame(segments, "segment long, start long, stop long"), "cell", "frame", "key", 40)
     assert {(r.segment, r.key): r.frames for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1_024])
+def test_nearest_by_brute_force(spark, cells):
+    """Negative values, ties on both sides, equal values, empty buckets, nulls."""
+    rng = random.Random(15)
+    points = [(k, v) for k, v in enumerate([None, *(rng.choice([-3, 1]) * rng.randrange(0, 400) / 4 for _ in range(60))])]
+    rows = [(k, v) for k, v in enumerate([None, *(rng.randrange(-1_600, 1_600) / 4 for _ in range(300))])]
+    want = {}
+    for k, w in rows:
+        near = [(abs(w - v), p) for p, v in points if w is not None and v is not None and abs(w // 24 - v // 24) <= 1]
+        if near:
+            want[k] = min(near)
+    got = align.nearest(spark.createDataFrame(rows, "row long, w double"), "w", spark.createDataFrame(points, "id long, v double"), "v", "id", 24, cells)
+    assert got.columns == ["row", "w", "id", "distance"] and {r.row: (r.distance, r.id) for r in got.collect()} == want and got.count() == len(want) < 300
+
+
+def test_nearest_meets_two_points_a_row(spark):
+    """3,000 rows and 3,000 points of one bucket: no join of rows with points, which would make 9,000,000 pairs."""
+    side = lambda name: spark.range(3_000).selectExpr(f"id as {name}", f"id % 240 + 0.25 as {name}_at")
+    got = align.nearest(side("row"), "row_at", side("id"), "id_at", "id", 240)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 2 and all("_cell" in x for x in joins) and got.where("distance = 0").count() == 3_000
