@@ -26,18 +26,37 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def records(df: DataFrame, record: np.dtype, skip: int = 0) -> DataFrame:
+#: Files are put together until they have so many bytes; what they hold goes on as one batch.
+BATCH_BYTES = 1 << 22
+
+
+def _together(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Paths and contents of a batch's files, some at a time: up to ``most`` bytes, or one file."""
+    for pdf in batches:
+        paths, contents = pdf["path"].tolist(), pdf["content"].tolist()
+        first = held = 0
+        for k, content in enumerate(contents):
+            if k > first and held + len(content) > most:
+                yield paths[first:k], contents[first:k]
+                first, held = k, 0
+            held += len(content)
+        if contents:
+            yield paths[first:], contents[first:]
+
+
+def records(df: DataFrame, record: np.dtype, skip: int = 0, most: int = BATCH_BYTES) -> DataFrame:
     """(path, place, fields): the records of each file behind ``skip`` bytes; a file that ends inside one is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in pdf[["path", "content"]].itertuples(index=False):
-                body = content[skip:]
+        for paths, contents in _together(batches, most):
+            bodies = [content[skip:] for content in contents]
+            for path, body in zip(paths, bodies, strict=True):
                 if len(body) % record.itemsize:
                     raise ValueError(f"{path}: {len(body)} bytes do not make records of {record.itemsize}")
-                found = np.frombuffer(body, dtype=record)
-                columns = {n: found[n].astype(found[n].dtype.newbyteorder("=")) for n in record.names}
-                yield pd.DataFrame({"path": path, "place": np.arange(len(found)), **columns})
+            found = np.frombuffer(b"".join(bodies), dtype=record)
+            n = np.array([len(body) // record.itemsize for body in bodies])
+            columns = {name: found[name].astype(found[name].dtype.newbyteorder("=")) for name in record.names}
+            yield pd.DataFrame({"path": np.repeat(np.array(paths, dtype=object), n), "place": np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n), **columns})
 
     return df.mapInPandas(run, f"path string, place long, {schema_of(record)}")
 
@@ -57,23 +76,24 @@ def header(df: DataFrame, fields: dict[str, tuple[int, str]], magic: bytes = b""
     return df.mapInPandas(run, "path string, " + ", ".join(f"{n} long" for n in fields))
 
 
-def routed_sectors(df: DataFrame, routes: DataFrame, sector: int = SECTOR) -> DataFrame:
+def routed_sectors(df: DataFrame, routes: DataFrame, sector: int = SECTOR, most: int = BATCH_BYTES) -> DataFrame:
     """(path, frame, kind, place, data): a body's sectors, frame by frame: control, then payload, then pad, as the routes
     (frame, control, payload, total) say. A body of another length is an error."""
     table = [(r["frame"], r["control"], r["payload"], r["total"]) for r in routes.orderBy("frame").collect()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in pdf[["path", "content"]].itertuples(index=False):
+        kinds = [["control"] * control + ["payload"] * payload + ["pad"] * (total - control - payload) for _, control, payload, total in table]
+        n = sum(map(len, kinds))
+        frame = np.repeat(np.array([f for f, *_ in table], dtype=np.int64), [len(x) for x in kinds])
+        place = np.array([k for x in kinds for k in range(len(x))], dtype=np.int32)
+        kind = np.array([k for x in kinds for k in x], dtype=object)
+        starts = range(0, n * sector, sector)
+        for paths, contents in _together(batches, most):
+            for path, content in zip(paths, contents, strict=True):
                 if len(content) != sector * sum(t for *_, t in table):
                     raise ValueError(f"{path}: the routes do not cover the body")
-                rows, at = [], 0
-                for frame, control, payload, total in table:
-                    kinds = ["control"] * control + ["payload"] * payload + ["pad"] * (total - control - payload)
-                    for place, kind in enumerate(kinds):
-                        rows.append((path, frame, kind, place, content[at : at + sector]))
-                        at += sector
-                yield pd.DataFrame(rows, columns=["path", "frame", "kind", "place", "data"])
+            data = [content[at : at + sector] for content in contents for at in starts]
+            yield pd.DataFrame({"path": np.repeat(np.array(paths, dtype=object), n), "frame": np.tile(frame, len(paths)), "kind": np.tile(kind, len(paths)), "place": np.tile(place, len(paths)), "data": data})
 
     return df.mapInPandas(run, "path string, frame long, kind string, place int, data binary")
 

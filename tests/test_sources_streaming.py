@@ -8,6 +8,7 @@ import wave
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,24 @@ def test_online_ledger_does_not_depend_on_batches(spark, tmp_path):
         df = spark.readStream.schema("stream long, frame long, amount long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
         ran(online.online_ledger(df, 10), f"grants_{name}")
         assert {(r.stream, r.frame): (r.asked, r.granted) for r in spark.table(f"grants_{name}").collect()} == granted
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 22])
+def test_small_files_together(spark, most):
+    """Files of different lengths, empty ones among them, give the records of each, in order."""
+    files = [(f"f{k}", b"".join(struct.pack(">IHH", 1_000 * k + n, n, k) for n in range(k % 4))) for k in range(40)]
+    df = spark.createDataFrame(files, "path string, content binary").coalesce(1)
+    got = binary.records(df, binary.CHUNK, most=most).collect()
+    assert [tuple(r) for r in got] == [(f"f{k}", n, 1_000 * k + n, n, k) for k in range(40) for n in range(k % 4)]
+    routes = spark.createDataFrame([(5, 1, 1, 3), (9, 0, 1, 1)], "frame long, control int, payload int, total int")
+    bodies = spark.createDataFrame([(f"b{k}", bytes(range(k, k + 8))) for k in range(30)], "path string, content binary").coalesce(1)
+    got = binary.routed_sectors(bodies, routes, 2, most).collect()
+    sectors = [(5, "control", 0), (5, "payload", 1), (5, "pad", 2), (9, "payload", 0)]
+    assert [(r.path, r.frame, r.kind, r.place, bytes(r.data)) for r in got] == [(f"b{k}", *at, bytes((k + 2 * n, k + 2 * n + 1))) for k in range(30) for n, at in enumerate(sectors)]
+
+
+def test_tables_of_small_files():
+    """A batch of 10,000 files is put together, where each made a table of its own."""
+    batch = pd.DataFrame({"path": [f"f{k}" for k in range(10_000)], "content": [b"12345678"] * 10_000})
+    assert [len(p) for p, _ in binary._together(iter([batch]), binary.BATCH_BYTES)] == [10_000]
+    assert [len(p) for p, _ in binary._together(iter([batch]), 40_000)] == [5_000, 5_000]
