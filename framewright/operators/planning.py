@@ -6,12 +6,17 @@ Each is a fold over one stream's rows (a group of its own); streams and points o
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def folded(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -23,6 +28,35 @@ def folded(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def of_each(df: DataFrame, key: str, order: list[str], value: str, of: Callable[[list], object], into: str, kind: str) -> DataFrame:
+    """(key, into): ``of`` the list of each group's values, in order; for very many small groups.
+
+    Rows are dealt and sorted by Spark, and a task goes through its groups in Arrow batches, so no group costs a table of its own.
+    """
+    own = T.StructType([df.schema[key], T.StructField(into, T._parse_datatype_string(kind))])
+    names, types = own.names, to_arrow_schema(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = batch.column(0)
+            keys, values = here if keys is None else pa.concat_arrays([keys, here]), values + batch.column(1).to_pylist()
+            known, missing = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), False), pc.is_null(keys)
+            other = pc.or_(known, pc.not_equal(missing[1:], missing[:-1]))
+            edges = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist()]
+            if len(edges) > 1:
+                found = [of(values[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(edges[:-1])), pa.array(found, types.field(1).type)], names=names)
+            # The last group may go on in the next batch.
+            keys, values = pa.concat_arrays([keys[edges[-1] :]]), values[edges[-1] :]
+        if values:
+            yield pa.RecordBatch.from_arrays([keys[:1], pa.array([of(values)], types.field(1).type)], names=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).select(key, value).mapInArrow(run, own)
+
+
 class Residency:
     """A pool of slots for keys that cells show.
 
@@ -232,10 +266,12 @@ def best_subset(sizes: list[int], scores: list[tuple[int, ...]], amount: int) ->
     best: dict[int, tuple[tuple[int, ...], tuple[int, ...]]] = {0: ((0,) * width, ())}
     for k, n in enumerate(sizes):
         if 0 < n <= amount:
+            own = scores[k]
             for total, (score, used) in list(best.items()):
-                better = tuple(a + b for a, b in zip(score, scores[k], strict=True))
-                if total + n <= amount and (total + n not in best or better > best[total + n][0]):
-                    best[total + n] = better, (*used, k)
+                if (after := total + n) <= amount:
+                    better = tuple(map(add, score, own))
+                    if after not in best or better > best[after][0]:
+                        best[after] = better, (*used, k)
     return sorted(best[amount][1]) if amount in best else None
 
 

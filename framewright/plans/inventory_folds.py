@@ -6,7 +6,6 @@ import io
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,16 +173,10 @@ _SIZES = "o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey OR
 _MASKS = f"{_SIZES}, m AS (SELECT l_orderkey, sizes, unnest(range(1 << len(sizes))) AS mask FROM g), s AS (SELECT l_orderkey, mask, list_sum(list_transform(range(len(sizes)), lambda k: CASE WHEN (mask >> k) & 1 = 1 THEN sizes[k + 1] ELSE 0 END)) AS total FROM m)"
 
 
-def _order_sizes(spark, sf):
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return read(spark, sf, "lineitem").select("l_orderkey", (F.row_number().over(order) - 1).alias("k"), F.col("l_quantity").cast("long").alias("n"))
-
-
 def _each_order(spark, sf, name: str, kind: str, of):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"l_orderkey": [pdf["l_orderkey"].iloc[0]], name: [of(pdf.sort_values("k")["n"].tolist())]})
-
-    return _order_sizes(spark, sf).groupBy("l_orderkey").applyInPandas(run, f"l_orderkey long, {name} {kind}")
+    """Of each order's quantities; one that is not known counts as nothing."""
+    lines = read(spark, sf, "lineitem").withColumn("n", F.coalesce(F.col("l_quantity").cast("long"), F.lit(0)))
+    return planning.of_each(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "n", of, name, kind)
 
 
 @query("o10_22_exact_subsets", f"WITH {_MASKS} SELECT l_orderkey, bool_or(total = 50) AS exact FROM s GROUP BY 1")

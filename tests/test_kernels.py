@@ -317,3 +317,24 @@ def test_projected_tiles(spark):
         motion.world_cells("diagonal", 0, 0, 2, 1)
     down = motion.world_cells("vertical", 9, 1, 2, 3)
     assert down.tolist() == [[-2, 0], [-2, 1], [-1, 0], [-1, 1], [0, 0], [0, 1], [-3, 0], [-3, 1]]
+
+
+def test_lists_of_each_group(spark):
+    """Groups across Arrow batches, single rows, null keys and null values; no table for each group."""
+    rng = random.Random(16)
+    rows = [(rng.choice([None, *range(40)]), n, rng.choice([None, n])) for n in range(900)]
+    want = {}
+    for key, n, v in rows:
+        want.setdefault(key, []).append(v)
+    rng.shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in (1, 7, 10_000):
+            spark.conf.set(name, str(size))
+            of = planning.of_each(spark.createDataFrame(rows, "k long, n long, v long"), "k", ["n"], "v", str, "s", "string")
+            got = of.collect()
+            assert {r.k: r.s for r in got} == {k: str(v) for k, v in want.items()} and len(got) == len(want)
+    finally:
+        spark.conf.set(name, before)
+    assert "FlatMapGroups" not in of._jdf.queryExecution().executedPlan().toString()
